@@ -16,10 +16,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combine, words
+from .common import Words, combine
+from .common import words as exact_words
 
 SHORTEST, LONGEST = 3, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -27,6 +29,11 @@ SIMILARITY = 0.5
 BLOCK_BYTES = 8 << 20
 
 
+def words(column: pa.Array) -> Iterator[Words]:
+    """Words in lower case of all scripts: an upper-cased copy is still a copy."""
+    return exact_words(pc.utf8_lower(column), lower=False)
+
+
 @dataclass(frozen=True)
 class Seeds:
     """Items as word hashes, and for each seed length the sorted seed hashes with (item, place) lists."""
