@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gaussian, mixing, sharding, simhash, toxicity
+from . import decontaminate, gaussian, matroska, mixing, sharding, simhash, suffixes, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_benchmark_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_matroska_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaussian.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,10 +36,14 @@ def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op3_toxic_segments, op4_benchmark_alignment, op6_quadratic_quality, op8_soft_mixing, op10_simhash_blocks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op3_toxic_segments, op4_benchmark_alignment, op5_matroska_packets, op6_quadratic_quality, op8_soft_mixing, op9_suffix_repeats, op10_simhash_blocks)}
 
 ORACLES: dict[str, str] = {}
