@@ -17,12 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at most (a longer text is cut at white space).
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 
 # ---------------------------------------------------------------- storage
 
 
+#: Rows and bytes of an Arrow batch: Python workers hold one batch, so these bound their memory for texts of any length mix.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a temporary one only where the session names none (tests, local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +45,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as a Parquet table in the shared folder and read again: lineage ends there, and a lost executor
     costs a reread."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -54,6 +64,7 @@ def drop(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -122,13 +122,12 @@ def count_cells(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Token counts of the cells for label 1 and label 0; 2^BITS small rows at most come back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 1 << BITS), np.int64)
+        flat = np.zeros(2 << BITS, np.int64)
+        total = flat.reshape(2, -1)
         for batch in batches:
-            y = np.asarray(batch.column(0))
+            y = np.asarray(batch.column(0)).astype(np.int64)
             for w in words(batch.column(1)):
-                cells, mine = _cells(w.hashes), y[w.doc]
-                for k in (0, 1):
-                    total[k] += np.bincount(cells[mine == k], minlength=1 << BITS)
+                np.add.at(flat, _cells(w.hashes) + (y[w.doc] << BITS), 1)
         at = np.flatnonzero(total.sum(0))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[1][at]), pa.array(total[0][at])], names=["cell", "toxic", "clean"])
 
