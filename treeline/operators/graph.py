@@ -1,0 +1,25 @@
+"""Connected groups of linked rows, by pointer jumping on tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .storage import written
+
+
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """(node, root): the smallest node that each node of ``edges`` (a, b) is connected to."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("root")).select(F.col("a").alias("node"), "root")
+    label = written(label, "labels")
+    for _ in range(most):
+        near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("root").alias("r"))
+        better = label.join(near, label["node"] == near["a"], "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root"))
+        jump = better.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        then = written(better.join(jump, "root", "left").select("node", F.least("root", F.coalesce("far", "root")).alias("root")), "labels")
+        changed = then.join(label.withColumnRenamed("root", "was"), "node").where("root <> was").limit(1).count()
+        label = then
+        if not changed:
+            return label
+    raise RecursionError(f"labels did not settle in {most} rounds")
