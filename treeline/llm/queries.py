@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gaussian, matroska, mixing, sharding, simhash, suffixes, toxicity
+from . import decontaminate, gaussian, lines, matroska, mixing, sharding, simhash, suffixes, toxicity
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaussian.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.line_duplicates(table(spark, sf_dir, "documents"))
+    return out.withColumn("removed", F.array_join(F.transform("removed", lambda x: x.cast("string")), ","))
+
+
 def op8_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,6 +49,8 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op3_toxic_segments, op4_benchmark_alignment, op5_matroska_packets, op6_quadratic_quality, op8_soft_mixing, op9_suffix_repeats, op10_simhash_blocks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op3_toxic_segments, op4_benchmark_alignment, op5_matroska_packets, op6_quadratic_quality, op7_line_join, op8_soft_mixing, op9_suffix_repeats, op10_simhash_blocks)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_line_join": "SELECT doc_id, n_lines, n_removed, array_to_string(removed, ',') AS removed FROM (" + lines.ORACLE + ")",
+}
