@@ -405,11 +405,11 @@ def strong_checksum_blocks(spark, sf):
     return _blocks(spark, sf).select("doc_id", "i", binary.strong_checksum(F.col("block")).alias("strong"))
 
 
-@query("WITH b AS (SELECT substr(sha256(text), i + 1, 2) AS block, doc_id * 8 + i AS at FROM documents, range(8) t(i)) SELECT (16 * 0 + 2 * ascii(substr(block, 1, 1)) + ascii(substr(block, 2, 1))) * 65536 + ascii(substr(block, 1, 1)) + ascii(substr(block, 2, 1)) AS weak, count(*) AS n, min(at) AS first FROM b GROUP BY 1")
+@query("WITH b AS (SELECT substr(sha256(text), i + 1, 2) AS block, doc_id * 8 + i AS pos FROM documents, range(8) t(i)) SELECT (16 * 0 + 2 * ascii(substr(block, 1, 1)) + ascii(substr(block, 2, 1))) * 65536 + ascii(substr(block, 1, 1)) + ascii(substr(block, 2, 1)) AS weak, count(*) AS n, min(pos) AS first_at FROM b GROUP BY 1")
 def block_signatures(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("i"))
     blocks = docs.select(binary.weak_checksum(F.substring("h", (F.col("i") + 1).cast("int"), F.lit(2)).cast("binary")).alias("weak"), (F.col("doc_id") * 8 + F.col("i")).alias("at"))
-    return blocks.groupBy("weak").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    return blocks.groupBy("weak").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
 
 
 @query("{VF}, refs AS (SELECT unnest(['2', 'release', '99', 'nope', '4']) AS ref), tags AS (SELECT 'release' AS name, 3::BIGINT AS snapshot_id), ids AS (SELECT DISTINCT snapshot_id FROM vf) SELECT ref, coalesce(i.snapshot_id, t.snapshot_id) AS snapshot_id FROM refs LEFT JOIN ids i ON regexp_full_match(ref, '[0-9]+') AND i.snapshot_id = try_cast(ref AS BIGINT) LEFT JOIN tags t ON NOT regexp_full_match(ref, '[0-9]+') AND name = ref")
