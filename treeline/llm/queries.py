@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, gaussian, lines, matroska, mixing, sharding, simhash, suffixes, toxicity
+from . import decontaminate, gaussian, lines, matroska, mixing, pitmanyor, sharding, simhash, suffixes, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 16)
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score(table(spark, sf_dir, "documents"))
+
+
 def op3_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.withColumn("n_passages", F.size("passages")).drop("passages")
@@ -49,7 +53,7 @@ def op10_simhash_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op3_toxic_segments, op4_benchmark_alignment, op5_matroska_packets, op6_quadratic_quality, op7_line_join, op8_soft_mixing, op9_suffix_repeats, op10_simhash_blocks)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_virtual_slots, op2_pitman_yor, op3_toxic_segments, op4_benchmark_alignment, op5_matroska_packets, op6_quadratic_quality, op7_line_join, op8_soft_mixing, op9_suffix_repeats, op10_simhash_blocks)}
 
 ORACLES: dict[str, str] = {
     "op7_line_join": "SELECT doc_id, n_lines, n_removed, array_to_string(removed, ',') AS removed FROM (" + lines.ORACLE + ")",
