@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +16,42 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """The same for few edges: a union-find over one task's long columns, roots by smallest node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            top = x
+            while above[top] != top:
+                top = above[top]
+            while above[x] != top:
+                above[x], x = top, above[x]
+            return top
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = find(above.setdefault(a, a) if above.get(a) is None else a), find(above.setdefault(b, b) if above.get(b) is None else b)
+                above[max(x, y)] = min(x, y)
+        nodes = np.array(list(above), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.array([find(x) for x in above], np.int64))], names=["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, one_task: int = 200_000) -> DataFrame:
+    """(node, root): the smallest node that each node of ``edges`` (a, b: longs) reaches.
+
+    Up to ``one_task`` edges (a checked count) are settled in one task. More go in rounds over tables:
 
-    Each round keeps at most as many edges as the last; hubs are handled by a partial minimum and a join that AQE may
+    each keeps at most as many edges as the last; hubs are handled by a partial minimum and a join that AQE may
     split. Ends when a round changes nothing. Empty edges give an empty table; self-loops and repeats do no harm.
     """
     now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     was = _digest(now)
+    if was[0] <= one_task:
+        return _in_one_task(now)
     for _ in range(most_rounds):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
