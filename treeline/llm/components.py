@@ -32,7 +32,9 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
 
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                x, y = find(above.setdefault(a, a) if above.get(a) is None else a), find(above.setdefault(b, b) if above.get(b) is None else b)
+                above.setdefault(a, a)
+                above.setdefault(b, b)
+                x, y = find(a), find(b)
                 above[max(x, y)] = min(x, y)
         nodes = np.array(list(above), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.array([find(x) for x in above], np.int64))], names=["node", "root"])
@@ -43,10 +45,9 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, most_rounds: int = 60, one_task: int = 200_000) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b: longs) reaches.
 
-    Up to ``one_task`` edges (a checked count) are settled in one task. More go in rounds over tables:
-
-    each keeps at most as many edges as the last; hubs are handled by a partial minimum and a join that AQE may
-    split. Ends when a round changes nothing. Empty edges give an empty table; self-loops and repeats do no harm.
+    Up to ``one_task`` edges (a checked count) are settled in one task. More go in rounds over tables: each round keeps at
+    most as many edges as the last, and hubs are handled by a partial minimum and a join that AQE may split; it ends
+    when a round changes nothing. Empty edges give an empty table; self-loops and repeats do no harm.
     """
     now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
     was = _digest(now)
