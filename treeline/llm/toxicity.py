@@ -112,9 +112,9 @@ def scan(column: pa.Array, model: Lexicon) -> tuple[np.ndarray, np.ndarray, list
                 raw[d] += [(base + p, base + q, s) for p, q, s in segments(score[a:b])]
             count[d] += b - a
     for d in range(n):
-        bar = np.log(model.k * max(count[d], 1))
+        bar = np.log(max(model.k * count[d], 1.0))  # what chance reaches in so many tokens
         raw[d] = [(p, q, model.lam * s - bar) for p, q, s in raw[d] if model.lam * s > bar]
-        evidence[d] = sum(x for _, _, x in raw[d]) - (0.5 * bar if not raw[d] else 0)
+        evidence[d] = sum(x for _, _, x in raw[d])
     return evidence, count, raw
 
 
@@ -157,15 +157,15 @@ def calibrate(evidence: np.ndarray, label: np.ndarray) -> Calibration:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int | None = 3, held: int = 1) -> tuple[Lexicon, Calibration]:
-    """From (doc_id, text) and labelled ids: even id hashes give token counts, odd ones the calibration."""
+    """From (doc_id, text) and labelled ids: a quarter, by id hash, is kept for the calibration, the rest gives token counts."""
     spark = docs.sparkSession
     ids = labelled(labels, "toxic")
     if fold:
         ids = ids.where(remainder(F.col("doc_id"), fold) != held)
     ids = bounded_sample(ids, sample)
     rows = docs.join(F.broadcast(ids), "doc_id")  # at most `sample` rows of 12 bytes
-    odd = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(2)) == 1
-    model = lexicon(*count_cells(rows.where(~odd)))
+    aside = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.lit(4)) == 1
+    model = lexicon(*count_cells(rows.where(~aside)))
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, fold: int | No
             evidence, _, _ = scan(batch.column(1), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(evidence)], names=["label", "x"])
 
-    seen = rows.where(odd).select("label", "text").mapInArrow(run, "label int, x double").toArrow()  # at most `sample` rows
+    seen = rows.where(aside).select("label", "text").mapInArrow(run, "label int, x double").toArrow()  # at most `sample` rows
     return model, calibrate(seen["x"].to_numpy(), seen["label"].to_numpy())
 
 
