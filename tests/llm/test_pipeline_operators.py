@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from treeline.llm import components, decontaminate, gaussian, mixing, sharding, simhash
+from treeline.llm import components, decontaminate, gaussian, mixing, sharding, simhash, wide
 
 EDGE = [(1, None, "x"), (2, "", "x"), (None, "a b c d", "x"), (3, "Same text here", "x"), (3, "Same text here", "x"), (4, "same TEXT  here", "x"), (5, "w " * 30000, "x"), (6, "\n\t \x0b", "x"), (7, "é ü 漢字 🙂", "x")]
 
@@ -104,11 +104,53 @@ def test_fingerprints_of_edges(spark, edge):
     assert rows[1, "0" * 16].component_id == 1 == rows[2, "0" * 16].component_id == rows[6, "0" * 16].component_id
     same = {r.component_id for (d, _), r in rows.items() if d in (3, 4)}
     assert same == {3}
-    kept = simhash.keep_one(edge).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3, 5, 7] and kept[0].asDict().keys() == {"doc_id", "text", "fp", "label", "shard"}
     assert simhash.near_duplicates(edge.limit(0)).collect() == []
 
 
+def test_wide_groups(spark, edge):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 7)))
+    docs, base = [], [[word() for _ in range(r.randrange(80, 300))] for _ in range(40)]
+    for k, w in enumerate(base):
+        docs.append((10 * k, " ".join(w)))
+        docs.append((10 * k + 1, " ".join(w).upper()))
+        edited = list(w)
+        edited[len(w) // 2] = word()
+        docs.append((10 * k + 2, " ".join(edited)))
+        docs.append((10 * k + 3, " ".join(w[: len(w) // 2] + [word() for _ in range(100)])))
+    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, id int").repartition(3)
+    for pairs_to, tile in ((64, 1024), (1, 1024), (1, 2)):
+        got = {x.doc_id: x.component_id for x in wide.similar_groups(df, pairs_to=pairs_to, tile=tile).collect()}
+        assert all(got[10 * k] == got[10 * k + 1] == 10 * k and got[10 * k + 3] == 10 * k + 3 for k in range(40))
+        assert sum(got[10 * k + 2] == 10 * k for k in range(40)) >= 38
+    kept = wide.keep_one(edge).collect()
+    assert sorted((x.doc_id or 0) for x in kept) == [0, 1, 3, 5, 7] and kept[0].asDict().keys() == {"doc_id", "text", "fp", "label", "shard"}
+    assert wide.keep_one(edge.limit(0)).collect() == []
+
+
+def test_wide_prints_against_brute_force():
+    import pyarrow as pa
+
+    from treeline.llm.common import mix
+
+    texts = ["a b c d e f g", "x y", "", None, " ".join(str(k % 700) for k in range(1500))]
+    prints = wide.fingerprints_of(pa.array(texts), 5)
+    h, doc = wide.shingle_hashes(pa.array(texts), 5)
+    for d, t in enumerate(texts):
+        w = (t or "").split()
+        assert (doc == d).sum() == len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else [])
+        for k in (0, 7, 15):
+            x = [int(v) for v in mix(h[doc == d] ^ wide._SALTS[k])]
+            assert int(prints[d, k]) == sum((2 * sum(v >> b & 1 for v in x) > len(x)) << b for b in range(64))
+    import functools
+
+    whole = wide.shingle_hashes(pa.array(texts), 5)
+    words, wide.words = wide.words, functools.partial(wide.words, limit=9)
+    cut = wide.shingle_hashes(pa.array(texts), 5)
+    wide.words = words
+    assert all((a == b).all() for a, b in zip(whole, cut))
+
+
 # ---------------------------------------------------------------- decontamination
 
 
@@ -252,11 +294,14 @@ def test_pipeline_against_its_parts(spark):
             texts = {(r.doc_id, r.text) for r in before.collect()}
             assert {(r.doc_id, r.text) for r in docs.collect()} <= texts
         if k == 1:  # brute force: one of each component, the smallest id
-            rows = sorted((r.doc_id, simhash.fingerprint(r.text.encode())) for r in before.collect())
-            roots = brute_components([p for _, p in rows], 2)
+            import pyarrow as pa
+
+            rows = sorted((r.doc_id, r.text) for r in before.collect())
+            prints = [int.from_bytes(p.tobytes(), "little") for p in wide.fingerprints_of(pa.array([t for _, t in rows]))]
             least = {}
-            for (d, _), root in zip(rows, roots):
+            for (d, _), root in zip(rows, brute_components(prints, wide.most_bits(0.8))):
                 least.setdefault(root, d)
-            assert {r.doc_id for r in docs.collect()} == set(least.values())
+            kept = {r.doc_id for r in docs.collect()}
+            assert set(least.values()) <= kept and len(kept) <= len(least) + 3  # a block may miss a pair near 0.8
     assert sorted(map(tuple, c.run(spark, sf).collect())) == sorted(map(tuple, docs.collect()))
     assert sizes[0] < 200 and sizes[-1] == sizes[-2] > 100

@@ -137,15 +137,3 @@ def near_duplicates(docs: DataFrame, distance: int = 2, n: int = 3, seed: int =
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return rows.join(named, "fp").select(F.col("doc_id").alias(ident), digits, "component_id", "n_rows")
 
-
-def keep_one(docs: DataFrame, distance: int = 2, n: int = 3, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the row with its smallest id; rows with a null id stay.
-
-    Repeated rows with that id are one group too: one of them stays.
-    """
-    grouped = near_duplicates(docs, distance, n, text=text, ident=ident)
-    stay = grouped.where(F.col(ident) == F.col("component_id")).select(F.col(ident).alias("_stay")).distinct()
-    kept = docs.where(F.col(ident).isNotNull()).join(stay, docs[ident] == F.col("_stay"), "left_semi")
-    if docs.groupBy(ident).count().where(f"`{ident}` IS NOT NULL AND count > 1").limit(1).count():
-        kept = kept.dropDuplicates([ident])
-    return kept.unionByName(docs.where(F.col(ident).isNull()))
