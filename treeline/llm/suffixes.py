@@ -379,6 +379,7 @@ def remove_repeats(docs: DataFrame, w: int = W, k: int = K, text: str = "text",
     found = written(source.select(key.alias("key"), "text").mapInArrow(run, "key binary, place int, h long"), "anchors")
     tag = F.xxhash64("key", "place")
     again = found.groupBy("h").agg(F.min(tag).alias("x"), F.max(tag).alias("y")).where("x <> y").select("h")
+    again = written(again, "repeated")  # on its own, so that the join below can split a hash that very many texts share
     places = found.join(again, "h", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("places"))
     wanted = written(places.join(one, "key"), "places")
     texts = source.withColumn("key", key).select("doc_id", "key", "text").join(wanted.withColumnRenamed("key", "_k").hint("shuffle_hash"), (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("rep")))
