@@ -31,8 +31,9 @@ CELLS = 1 << CELL_BITS
 SWEEPS, AVERAGED = 4, 2
 STRENGTH = 1.0
 EXACT = 96  #: counts up to this draw from the Stirling table; larger ones seat customers in growing groups
-BUCKET_BYTES = 20 << 20
-CHUNK_TOKENS = 1_200_000
+BUCKET_BYTES = 9 << 20  #: text bytes whose tokens make a bucket; a task holds one bucket at a time
+CHUNK_TOKENS = 700_000
+HELD_ROWS = 2_000_000  #: rows whose sums a task holds before it passes them on
 _END = mix(np.array([11], np.uint64))[0]
 _START = np.uint16(mix(np.array([12], np.uint64))[0] >> np.uint64(64 - CELL_BITS))
 _RANGES = 16
@@ -337,6 +338,13 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, a
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c_, totals_, stirling_ = shared.value
+        sums: dict[int, np.ndarray] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for chunk, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["chunk", "sums"])
+            sums.clear()
+
         for batch in batches:
             for row in batch.to_pylist():
                 p, used = 0.0, 0
@@ -351,9 +359,12 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, a
                 for chunk, n, types, tokens in np.frombuffer(row["chunks"], np.int64).reshape(-1, 4).tolist():
                     of = np.repeat(inverse[i : i + types], count[i : i + types])
                     mine = at[j : j + tokens]
-                    sums = np.stack([np.bincount(mine, v[of], n) for v in (log_p, base, known)])
+                    part = np.stack([np.bincount(mine, v[of], n) for v in (log_p, base, known)])
+                    sums[chunk] = sums[chunk] + part if chunk in sums else part
                     i, j = i + types, j + tokens
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["chunk", "sums"])
+                if sum(v.shape[1] for v in sums.values()) > HELD_ROWS:
+                    yield from flush()
+        yield from flush()
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(v, np.float64) for v in group["sums"].to_pylist()).reshape(3, -1)
