@@ -1,14 +1,16 @@
 """Mixing by soft domain membership.
 
 A classifier fitted on the `labels` table gives each document posteriors over the domains ``low`` (quality 0),
-``clean`` (quality 1, not toxic) and ``toxic`` (quality 1, toxic). Projected-gradient least squares then finds
-nonnegative document rates, as near 1 as possible, whose expected tokens per domain meet the target weights: each step
-is one distributed sum over documents of a few numbers per domain, and a document's rate follows from its posteriors
-and the steps' directions, so no rate table is passed around.
+``clean`` (quality 1, not toxic) and ``toxic`` (quality 1, toxic). Projected least squares then finds nonnegative document
+rates, as near 1 as possible, whose expected tokens per domain meet the target weights. The rates are 1 minus the posteriors'
+product with one multiplier per domain, cut at 0; the multipliers follow the gradient, scaled by the second moments of the
+documents above 0 (Newton steps). Each step is one distributed sum over documents of a few numbers per domain, and a
+document's rate follows from its posteriors and the multipliers, so no rate table is passed around.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,9 @@ from .toxicity import fit as fit_toxicity
 
 DOMAINS = ("low", "clean", "toxic")
 TARGETS = {"low": 0.05, "clean": 0.92, "toxic": 0.03}
-NEAR = 0.02  #: weight of keeping rates near 1 against meeting the targets
+NEAR = 1e-8  #: weight of keeping rates near 1 against meeting the targets
 STEPS = 60
+TOLERANCE = 1e-3  #: targets are met to this share of each; `solve` warns where they cannot be
 SIZE = len(FEATURES) + 1
 
 
@@ -78,7 +81,7 @@ def rate(p: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
 
 
 def _sums(members: DataFrame, steps: list[np.ndarray], k: int) -> np.ndarray:
-    """Expected tokens per domain, tokens, tokens times (rate - 1) squared, and the domains' second moments."""
+    """Expected tokens per domain, tokens, tokens times squared rate, and the second moments of documents above 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k + 2 + k * k)
@@ -88,8 +91,8 @@ def _sums(members: DataFrame, steps: list[np.ndarray], k: int) -> np.ndarray:
             r = rate(p, steps)
             total[:k] += (n * r) @ p
             total[k] += n.sum()
-            total[k + 1] += (n * (r - 1) ** 2).sum()
-            total[k + 2 :] += ((p * n[:, None]).T @ p).ravel()
+            total[k + 1] += (n * r**2).sum()
+            total[k + 2 :] += ((p * (n * (r > 0))[:, None]).T @ p).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "v"])
 
     out = np.zeros(k + 2 + k * k)
@@ -99,30 +102,44 @@ def _sums(members: DataFrame, steps: list[np.ndarray], k: int) -> np.ndarray:
 
 
 def solve(members: DataFrame, targets: dict[str, float], near: float = NEAR, most: int = STEPS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Steps of the projected gradient, expected domain tokens reached, and target tokens.
+    """The step from rates of 1 to the solution, expected domain tokens reached, and target tokens.
 
     Minimises  |expected / T - weight|^2 / 2 + near / 2 * sum n (rate - 1)^2 / T  over rates >= 0, T all tokens: a
-    convex problem. In the metric of the documents' tokens its gradient is P (expected / T - weight) + near (rate - 1),
-    and the Lipschitz constant is the largest eigenvalue of sum n p p' / T, plus ``near``; the step is its inverse.
+    convex problem. Its rates are max(0, 1 - p m) for the multipliers m that minimise the convex
+    sum n rate^2 / 2 T + weight m + near |m|^2 / 2, whose gradient is weight + near m - expected / T. Warns if a target is
+    not met to `TOLERANCE`, as where no document belongs to its domain.
     """
     k = len(DOMAINS)
     weight = np.array([targets[d] for d in DOMAINS], float)
     weight = weight / weight.sum()
+    m = np.zeros(k)
     now = _sums(members, [], k)
     total = now[k]
     if not total:
         return [], now[:k], weight * 0
-    step = 1 / (np.linalg.eigvalsh(now[k + 2 :].reshape(k, k) / total).max() + near)
-    steps: list[np.ndarray] = []
-    value = lambda s: ((s[:k] / total - weight) ** 2).sum() / 2 + near * s[k + 1] / total / 2
-    was = value(now)
-    for _ in range(most):
-        steps.append(np.append(step * (now[:k] / total - weight), step * near))
-        now = _sums(members, steps, k)
-        if was - value(now) <= 1e-9 * max(was, 1e-12):
+    value = lambda s, m: s[k + 1] / total / 2 + weight @ m + near * m @ m / 2
+    passes = 1
+    while passes < most:
+        slope = weight + near * m - now[:k] / total
+        if np.abs(slope).max() <= 1e-10:
             break
-        was = value(now)
-    return steps, now[:k], weight * total
+        move = -np.linalg.solve(now[k + 2 :].reshape(k, k) / total + max(near, 1e-12) * np.eye(k), slope)
+        length = 1.0
+        while passes < most:
+            then = _sums(members, [np.append(m + length * move, 0.0)], k)
+            passes += 1
+            if value(then, m + length * move) <= value(now, m) + 1e-4 * length * (slope @ move) + 1e-14:
+                break
+            length /= 2
+        else:
+            break
+        m, now = m + length * move, then
+        if length * -(slope @ move) <= 1e-16 * (1 + abs(value(now, m))):
+            break
+    goal = weight * total
+    if (np.abs(now[:k] - goal) > TOLERANCE * goal).any():
+        warnings.warn(f"targets not met: {dict(zip(DOMAINS, (now[:k] / total).round(5).tolist()))} instead of {dict(zip(DOMAINS, weight.tolist()))}", stacklevel=2)
+    return [np.append(m, 0.0)], now[:k], goal
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, near: float = NEAR, text: str = "text", ident: str = "doc_id") -> DataFrame:
