@@ -57,34 +57,11 @@ def test_table_draws_follow_their_law():
     assert big[0] == 1 and big[1] == 0 and 1 <= big[2] <= 5000
 
 
-def test_predictive_probabilities_sum_to_one():
-    r = np.random.default_rng(2)
-    word, cell = r.integers(1, 30, 4000).astype(np.uint64), r.integers(0, 6, 4000).astype(np.uint64)
-    key, count = np.unique((word << np.uint64(16)) | cell, return_counts=True)
-    b = pitmanyor.Bucket(0, key, count)
-    customers = np.bincount(b.cell, b.count, pitmanyor.CELLS).astype(np.int64)
-    c = pitmanyor.Constants(customers, 4000, int((b.word_count > 0).sum()), 0.5, 0.4)
-    tables = (pitmanyor.log_stirling(0.5), pitmanyor.log_stirling(0.4))
-    total = lambda: pitmanyor.Totals(np.bincount(b.cell, b.tables, pitmanyor.CELLS), int(b.customers.sum()), int(b.root_tables.sum()))
-    for k in range(1, 4):
-        b.sweep(k, total(), c, tables)
-        now = total()
-        parent = b.parent(c, now.root_customers, now.root_tables)
-        unknown = (c.strength + c.root_discount * now.root_tables) / (c.known + 1) / (c.strength + now.root_customers)
-        assert abs(parent.sum() + unknown - 1) < 1e-9
-        p = b.probabilities(now, c)
-        for u in range(6):
-            spare = (c.strength + c.discount * now.tables[u]) / (c.strength + customers[u])
-            seen = b.cell == u
-            missing = spare * (1 - parent[b.word[seen]].sum())  # words that never followed, and the unknown
-            assert abs(p[seen].sum() + missing - 1) < 1e-9
-
-
 def test_scores(spark):
     r = random.Random(5)
     docs = [(k, " ".join(r.choice(["The", "the", "cat", "sat", f"w{r.randrange(40)}"]) for _ in range(r.randrange(0, 60)))) for k in range(150)] + EDGE
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, bucket int").repartition(3)
-    rows = pitmanyor.score(df, bucket_bytes=2000).collect()
+    rows = pitmanyor.score(df, bucket_bytes=2000, chunk_bytes=1500).collect()
     assert len(rows) == len(docs)
     tokens = lambda t: [*(t or "").encode().lower().split(), None]
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
@@ -93,7 +70,7 @@ def test_scores(spark):
     want = Counter((d, held(d), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for d, t in docs)
     assert Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in rows) == want
     assert all(x.score < 0 and x.perplexity > 1 for x in rows)
-    again = pitmanyor.score(df, bucket_bytes=2000).collect()
+    again = pitmanyor.score(df, bucket_bytes=2000, chunk_bytes=1500).collect()
     assert Counter((x.doc_id, round(x.score, 9)) for x in again) == Counter((x.doc_id, round(x.score, 9)) for x in rows)
     assert pitmanyor.score(df.limit(0)).collect() == []
 

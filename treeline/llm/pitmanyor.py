@@ -1,15 +1,21 @@
 """A hierarchical Pitman-Yor bigram model, sampled by blocked Gibbs over the cluster.
 
-Every context (the word before, hashed into a fixed number of cells) is a Chinese restaurant whose customers are the words
-that follow; its tables are customers of one root restaurant, which all contexts share as parent and whose base is uniform
-over the known words and one unknown. The state is the number of tables per (context, word); which customer sits where is
-summed out with generalised Stirling numbers.
-
-A restaurant's tables depend on each other through its total. A gamma variable per restaurant takes that dependence up: given
-it and the root's word probabilities, all (context, word) table counts are independent, so a sweep draws each from its exact
-conditional, wherever it is. Rows are dealt by word: a task holds all contexts of its words, hence their root customers too,
-and only the contexts' table totals (one number per cell) and the root's totals go round between sweeps. A task replays the
-earlier sweeps from their totals and fixed seeds, so no state is stored and a lost executor costs a replay.
+Every context (the word before; each its own) is a Chinese restaurant whose customers are the words that follow; its tables are
+customers of one root restaurant, the parent of all contexts. The root's base is diffuse: each known word is one dish with one
+table there, and all unknown words together are the event of a new dish. The state is the number of tables per (context, word);
+who sits where is summed out with generalised Stirling numbers.
+
+A sweep is exact blocked Gibbs. Given the tables, the root's word probabilities are Dirichlet (customers less the discount, and
+strength plus discount times words for what is new); they are drawn as gamma variables. A gamma variable per context takes up
+the dependence of its tables through their total. Given both, all table counts are independent, and each is drawn from its
+conditional S(count, t) (discount g p)^t. Types of count one have one table always, so only types that occur more than once are
+state; the others enter through totals.
+
+Three groupings, each of a bounded size: *chunks* of texts (by id and text hash) are tokenised and packed; *buckets* of words
+hold the types of their words; a bucket also owns its words as contexts. A word with a thousandth of all tokens or more is dealt
+by context instead, over all buckets, and its sums (there are at most a thousand such words) go through the driver. Each
+sweep sends, for every context of a repeated type, its tables to its owner, and the context's gamma variable back. In the end
+every chunk gets its words' and types' counts back, in its own order, and scores its texts; no token is ever moved.
 
 Scores average the predictive probabilities of the last sweeps.
 """
@@ -25,418 +31,483 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, mix, remainder, words, written
+from .seating import draw_tables, log_stirling
 
-CELL_BITS = 16
-CELLS = 1 << CELL_BITS
 SWEEPS, AVERAGED = 4, 2
 STRENGTH = 1.0
-EXACT = 96  #: counts up to this draw from the Stirling table; larger ones from Stirling numbers by a contour integral
-_U = np.linspace(-9, 9, 101)  # the contour's parameter
-_NODES = np.cos(np.pi * (np.arange(15) + 0.5) / 15)
-_TO_CHEBYSHEV = np.linalg.inv(np.polynomial.chebyshev.chebvander(_NODES, 14))
-_GRID = 512
-BUCKET_BYTES = 9 << 20  #: text bytes whose tokens make a bucket; a task holds one bucket at a time
-CHUNK_TOKENS = 700_000
-HELD_ROWS = 2_000_000  #: rows whose sums a task holds before it passes them on
-_END = mix(np.array([11], np.uint64))[0]
-_START = np.uint16(mix(np.array([12], np.uint64))[0] >> np.uint64(64 - CELL_BITS))
-_RANGES = 16
-
-
-def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word ids (48 bits), context cells, text of each token, and tokens per text; every text ends with one end token."""
+SEED = 5
+CHUNK_BYTES = 6 << 20  #: text bytes of a chunk
+BUCKET_BYTES = 8 << 20  #: text bytes whose types make a bucket
+HOT = 1000  #: a word with at least this part of all tokens is dealt by context
+_SHIFT = np.uint64(16)  # word ids are 48-bit hashes
+_END, _START = (int(mix(np.array([k], np.uint64))[0] >> _SHIFT) for k in (11, 12))
+
+
+def stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids, text of each token, and tokens per text; every text ends with one end token."""
     n = len(column)
     h, doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for w in words(column):
-        h.append(w.hashes)
+        h.append(w.hashes >> _SHIFT)
         doc.append(w.doc)
     h, doc = np.concatenate(h), np.concatenate(doc)
     size = np.bincount(doc, minlength=n) + 1
     token = np.full(int(size.sum()), _END, np.uint64)
     token[np.arange(len(h)) + doc] = h
-    cell = np.empty(len(token), np.uint16)
-    cell[1:] = (mix(token[:-1]) >> np.uint64(64 - CELL_BITS)).astype(np.uint16)
-    cell[np.cumsum(size) - size] = _START
-    return token >> np.uint64(16), cell, np.repeat(np.arange(n), size), size
-
-
-# ---------------------------------------------------------------- packing
-
-
-def _packed(ids: np.ndarray, cells: np.ndarray, rows: np.ndarray, held: np.ndarray) -> tuple[bytes, ...]:
-    """Sorted types as words, types per word, cells; training tokens and tokens per type; and the tokens' rows."""
-    key = (ids << np.uint64(16)) | cells
-    order = np.argsort(key, kind="stable")
-    key, rows = key[order], rows[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    count = np.diff(np.append(first, len(key)))
-    train = np.add.reduceat((~held[rows]).astype(np.int64), first)
-    key = key[first]
-    word = key >> np.uint64(16)
-    head = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    return word[head].tobytes(), np.diff(np.append(head, len(word))).astype(np.uint32).tobytes(), key.astype(np.uint16).tobytes(), count.astype(np.uint32).tobytes(), train.astype(np.uint32).tobytes(), rows.astype(np.uint16).tobytes()
-
-
-def _keys(word: bytes, times: bytes, cell: bytes) -> np.ndarray:
-    return (np.repeat(np.frombuffer(word, np.uint64), np.frombuffer(times, np.uint32)) << np.uint64(16)) | np.frombuffer(cell, np.uint16)
-
-
-def _chunks(buckets: int, names: list[str]):
-    """A map function: rows of (row, doc_id, held, text) to a chunk's packed tokens by bucket, and its rows' totals."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        parts: list[tuple] = []
-        docs: list[pa.RecordBatch] = []
-        rows = tokens = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            flags = np.concatenate(held)
-            ids, cells, at = (np.concatenate([p[c] for p in parts]) for c in range(3))
-            size = np.bincount(at, minlength=rows)
-            table = pa.Table.from_batches(docs).combine_chunks()
-            chunk = table.column(0)[0].as_py()
-            n = rows
-            empty = lambda m, kind: pa.nulls(m, kind)
-            kinds = [pa.binary()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(-1 - (np.full(n, chunk) // 7) % buckets, pa.int64()), pa.array(np.full(n, chunk), pa.int64()), pa.array(np.arange(n), pa.int64()), table.column(1).combine_chunks(), pa.array(flags), pa.array(size, pa.int64()), *[empty(n, k) for k in kinds]], names=names)
-            bucket = ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                mine = order[cut[b] : cut[b + 1]]
-                if len(mine):
-                    packed = _packed(ids[mine], cells[mine], at[mine], flags)
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([chunk], pa.int64()), pa.array([n], pa.int64()), empty(1, table.column(1).type), empty(1, pa.bool_()), empty(1, pa.int64()), *[pa.array([p], pa.binary()) for p in packed]], names=names)
-
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                ids, cells, doc, size = stream(part.column(3))
-                parts.append((ids, cells, doc + rows))
-                held.append(np.asarray(part.column(2)))
-                docs.append(part.select([0, 1]))
-                rows, tokens = rows + len(part), tokens + len(ids)
-                if tokens > CHUNK_TOKENS or rows > 60000:
-                    yield from flush()
-                    held, parts, docs, rows, tokens = [], [], [], 0, 0
-        if rows:
-            yield from flush()
-
-    return run
-
-
-# ---------------------------------------------------------------- the sampler
-
-
-def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
-    """log of the generalised Stirling numbers S(n, t) of type (-1, -d, 0), 1 <= t <= n <= ``most``."""
-    out = np.full((most + 1, most + 1), -np.inf)
-    out[1, 1] = 0.0
-    for n in range(1, most):
-        t = np.arange(1, n + 2)
-        with np.errstate(divide="ignore"):
-            stay = np.log(np.maximum(n - t * d, 0)) + out[n, t]
-        out[n + 1, t] = np.logaddexp(out[n, t - 1], stay)
-    return out
+    return token, np.repeat(np.arange(n), size), size
 
 
-def log_coefficient(n: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
-    """log of the coefficient of x^n in (1 - (1 - x)^d)^t, which is S(n, t) d^t t! / n!; real t of 1 to n.
-
-    Cauchy's integral with x = 1 - exp(-z), by the trapezoidal rule on a path around the cut, through the saddle point.
-    """
-    n, t = n[:, None], t[:, None]
-    low, high = np.full(n.shape, -40.0), np.full(n.shape, 5.0)
-    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-        for _ in range(30):
-            mid = (low + high) / 2
-            above = t * d / np.expm1(d * np.exp(mid)) > (n + 1) / np.expm1(np.exp(mid))
-            high, low = np.where(above, mid, high), np.where(above, low, mid)
-        saddle = np.minimum(np.exp((low + high) / 2), np.log(n + 1))
-        e, g = -np.expm1(-d * saddle), -np.expm1(-saddle)
-        bend = (n + 1) * np.exp(-saddle) / g**2 - t * d * d * np.exp(-d * saddle) / e**2
-        w = np.minimum(np.minimum(1.0, 0.2 * saddle), 3 / np.pi / np.sqrt(np.maximum(bend, 1e-300)))
-    low, high = np.full(n.shape, 1e-6), np.full(n.shape, 4.0)
-    for _ in range(30):  # steps of w about the saddle that grow to the path's ends: u = c sinh(b U)
-        b = (low + high) / 2
-        above = np.sinh(9 * b) / b > 9 / w
-        high, low = np.where(above, b, high), np.where(above, low, b)
-    u = w / b * np.sinh(b * _U)
-    w = w * np.cosh(b * _U)
-    y, turn = np.pi * np.tanh(u), np.pi / np.cosh(u) ** 2
-    away = np.sqrt(saddle**2 + y**2)  # to the left at once where the saddle is near the pole at 0
-    z = 2 * saddle - away - np.log(np.cosh(u)) + 1j * y
-    step = w * (-np.tanh(u) - y * turn / away + 1j * turn)
-    value = t * np.log(1 - np.exp(-d * z)) - (n + 1) * np.log(1 - np.exp(-z)) - z
-    top = value.real.max(1, keepdims=True)
-    total = (np.exp(value - top) * step).sum(1).imag * (_U[1] - _U[0]) / (2 * np.pi)
-    return top[:, 0] + np.log(np.maximum(total, 1e-300))
-
-
-def _log_factorial(t: np.ndarray) -> np.ndarray:
-    x = t + 8.0  # Stirling's series, carried down
-    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - sum(np.log(t + j) for j in range(1, 8))
-
-
-def _many_tables(n: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of large counts, from p(t) proportional to S(n, t) a^t, in a window of eight deviations or more about its middle."""
-    low, high = np.full(len(n), -40.0), np.full(len(n), 6.0)
-    for _ in range(50):  # a exp(-d z) (exp(z) - 1) = n + 1
-        z = np.exp((low + high) / 2)
-        above = np.log(a) + (1 - d) * z + np.log(-np.expm1(-z)) > np.log(n + 1)
-        high, low = np.where(above, np.log(z), high), np.where(above, low, np.log(z))
-    middle = np.minimum(-a / d * np.expm1(-d * z), n)
-    reach = 8 * np.sqrt(middle + 1) + 8
-    first, last = np.floor(np.maximum(1, middle - reach)), np.ceil(np.minimum(n, middle + reach))
-    width = last - first
-    nodes = first[:, None] + width[:, None] * (_NODES + 1) / 2
-    values = log_coefficient(np.repeat(n, len(_NODES)), nodes.ravel(), d).reshape(nodes.shape)
-    series = (values + _log_factorial(n[:, None] - nodes)) @ _TO_CHEBYSHEV.T  # smooth up to t = n
-    cells = np.minimum(width + 1, _GRID)  # whole numbers, or as many even cells with a place drawn inside
-    j = np.arange(int(cells.max()))
-    at = np.where(cells < _GRID, j[None, :].T, (j[None, :].T + 0.5) * (width + 1) / _GRID - 0.5).T
-    t = first[:, None] + at
-    s = 2 * at / np.maximum(width, 1)[:, None] - 1
-    logit = np.polynomial.chebyshev.chebval(np.clip(s, -1, 1).T, series.T, tensor=False).T + t * np.log(a / d)[:, None] - _log_factorial(t) - _log_factorial(np.maximum(n[:, None] - t, 0))
-    logit[j[None, :] >= cells[:, None]] = -np.inf
-    total = np.cumsum(np.exp(logit - logit.max(1, keepdims=True)), axis=1)
-    k = (total < rng.random(len(n))[:, None] * total[:, -1:]).sum(1)
-    inside = np.where(cells < _GRID, 0.0, (rng.random(len(n)) - 0.5) * (width + 1) / _GRID)
-    return np.clip(np.rint(t[np.arange(len(n)), k] + inside), 1, n).astype(np.int64)
-
-
-def draw_tables(count: np.ndarray, a: np.ndarray, d: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of ``count`` customers of a dish, each from p(t) proportional to S(count, t) a^t."""
-    out = np.minimum(count, 1)
-    order = np.argsort(count, kind="stable")
-    cut = np.searchsorted(count[order], np.arange(2, EXACT + 2))
-    log_a = np.log(np.maximum(a, 1e-300))
-    for c in range(2, EXACT + 1):
-        mine = order[cut[c - 2] : cut[c - 1]]
-        for k in range(0, len(mine), 1 + 400_000 // c):
-            some = mine[k : k + 1 + 400_000 // c]
-            logit = table[c, 1 : c + 1] + log_a[some][:, None] * np.arange(1, c + 1)
-            logit -= logit.max(1, keepdims=True)
-            total = np.cumsum(np.exp(logit), axis=1)
-            out[some] = 1 + (total < rng.random(len(some))[:, None] * total[:, -1:]).sum(1)
-    big = order[cut[-1] :]
-    for k in range(0, len(big), 256):
-        some = big[k : k + 256]
-        out[some] = _many_tables(count[some].astype(float), np.maximum(a[some], 1e-300), d, rng)
-    return out
-
-
-@dataclass(frozen=True)
-class Totals:
-    """What goes round between sweeps: tables per cell, and the root's customers and tables."""
-
+def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    return ((ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+
+
+def _ints(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.uint64 if value[0] else np.uint32, offset=1).astype(np.int64)
+
+
+def _ids(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.uint64)
+
+
+def _bytes(values: np.ndarray) -> bytes:
+    """Counts with four bytes each, or eight where one needs them."""
+    wide = bool(values.size and values.max() >= 1 << 32)
+    return bytes([wide]) + values.astype(np.uint64 if wide else np.uint32).tobytes()
+
+
+def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
+    return pa.table({f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in schema}, schema=schema)
+
+
+def _schema(text: str) -> tuple[str, pa.Schema]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    return text, pa.schema([(n, kinds[k]) for n, k in (x.split() for x in text.split(", "))])
+
+
+# ---------------------------------------------------------------- chunks
+
+
+class Chunk:
+    """The types of some texts in a fixed order: by bucket, then word, then context; and the words by home bucket."""
+
+    def __init__(self, column: pa.Array, buckets: int, hot: np.ndarray):
+        token, self.doc, self.size = stream(column)
+        self.begin = np.cumsum(self.size) - self.size
+        ids, at = np.unique(np.append(token, np.uint64(_START)), return_inverse=True)
+        word = at[:-1]
+        context = np.empty_like(word)
+        context[1:] = word[:-1]
+        context[self.begin] = at[-1]
+        home = bucket_of(ids, buckets).astype(np.int64)
+        by_home = np.argsort(home, kind="stable")
+        rank = np.empty_like(by_home)  # words are numbered by home bucket from here on
+        rank[by_home] = np.arange(len(by_home))
+        self.ids, self.home, self.start = ids[by_home], home[by_home], int(rank[at[-1]])
+        self.token = rank[word]
+        types, self.type = np.unique(self.token * len(ids) + rank[context], return_inverse=True)
+        self.type_word, self.type_context = np.divmod(types, len(ids))
+        bucket = self.home[self.type_word]
+        self.is_hot = np.isin(self.ids, hot)
+        spread = self.is_hot[self.type_word]
+        bucket[spread] = bucket_of(mix(self.ids[self.type_context[spread]]), buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.type = place[self.type]
+        self.bucket, self.type_word, self.type_context = bucket[order], self.type_word[order], self.type_context[order]
+
+    def requests(self, held: np.ndarray) -> Iterator[dict]:
+        """For each bucket: its words with training counts, and its types, word by word, with training counts."""
+        train = ~held
+        of_word = np.bincount(self.token, train[self.doc], len(self.ids))
+        of_word[self.start] = train.sum()
+        of_type = np.bincount(self.type, train[self.doc], len(self.bucket))
+        for b in np.unique(np.concatenate((self.home, self.bucket))).tolist():
+            w = slice(*np.searchsorted(self.home, [b, b + 1]))
+            t = slice(*np.searchsorted(self.bucket, [b, b + 1]))
+            word = self.type_word[t]
+            head = np.flatnonzero(np.diff(word, prepend=-1))
+            yield {
+                "bucket": b, "words": self.ids[w].tobytes(), "counts": _bytes(of_word[w]), "heads": self.ids[word[head]].tobytes(),
+                "times": _bytes(np.diff(np.append(head, len(word)))), "contexts": self.ids[self.type_context[t]].tobytes(), "types": _bytes(of_type[t]),
+            }
+
+
+REQUEST = _schema("bucket int, chunk int, words binary, counts binary, heads binary, times binary, contexts binary, types binary")
+
+
+# ---------------------------------------------------------------- buckets
+
+#: ``own``: a bucket's words; ``ask``: a chunk's order; ``state``: types of count over one; ``mail``: tables to owners; ``sum``: numbers for the driver
+RESTAURANT = _schema("kind int, bucket int, chunk int, peer int, words binary, counts binary, singles binary, times binary, contexts binary, types binary, tables binary, base binary, weight binary, id long, value double, gamma double")
+OWN, ASK, STATE, MAIL, SUM = range(5)
+#: ids of the sums that belong to no hot word
+TOKENS, KNOWN, ONES, TWOS, ROOT, ROOT_ONES, ROOT_TWOS, QUIET, QUIET_WORDS, GAMMA = range(-10, 0)
+
+
+def merge(rows: list[dict], buckets: int, hot: np.ndarray) -> Iterator[dict]:
+    """A bucket's words, state and mail, and each chunk's order of them, from the chunks' requests."""
+    rows = sorted(rows, key=lambda r: r["chunk"])
+    bucket = rows[0]["bucket"]
+    parts = [_ids(r["words"]) for r in rows]
+    own, at = np.unique(np.concatenate(parts), return_inverse=True)
+    count = np.bincount(at, np.concatenate([_ints(r["counts"]) for r in rows]), len(own)).astype(np.int64)
+    cut = np.cumsum([0, *map(len, parts)])
+    word = np.concatenate([np.repeat(_ids(r["heads"]), _ints(r["times"])) for r in rows])
+    context = np.concatenate([_ids(r["contexts"]) for r in rows])
+    trained = [_ints(r["types"]) for r in rows]
+    train = np.concatenate(trained)
+    heads, w = np.unique(word, return_inverse=True)
+    openers, u = np.unique(context, return_inverse=True)
+    key, of = np.unique(w * max(len(openers), 1) + u, return_inverse=True)
+    n = np.bincount(of, train, len(key)).astype(np.int64)
+    many = n > 1
+    kind = np.minimum(n, 2).astype(np.uint8)
+    number = np.cumsum(many) - 1
+    sizes = np.cumsum([0, *map(len, trained)])
+    for r, a, b, c, d in zip(rows, cut, cut[1:], sizes, sizes[1:]):
+        mine = of[c:d]
+        yield {"kind": ASK, "bucket": bucket, "chunk": r["chunk"], "words": _bytes(at[a:b]), "types": kind[mine].tobytes(), "tables": _bytes(number[mine[many[mine]]])}
+    w, u, n1 = key[many] // max(len(openers), 1), key[many] % max(len(openers), 1), n[many]
+    used, w = np.unique(w, return_inverse=True)
+    ids = heads[used]
+    total = np.bincount(w, n1, len(ids)).astype(np.int64)
+    is_hot = np.isin(ids, hot)
+    singles = np.zeros(len(ids), np.int64)
+    singles[~is_hot] = count[np.searchsorted(own, ids[~is_hot])] - total[~is_hot]
+    yield {"kind": OWN, "bucket": bucket, "words": own.tobytes(), "counts": _bytes(count)}
+    state = State(bucket, ids, is_hot, singles, w, openers[u], n1, np.ones(len(n1), np.int64), None, None)
+    yield state.row(buckets)
+    yield from state.mail(buckets)
+    # what the driver needs: sizes, counts of counts, and words without a repeated type
+    real = (count > 0) & (own != np.uint64(_START))
+    cold = real & ~np.isin(own, hot)
+    quiet = cold & ~np.isin(own, ids)
+    root = np.where(is_hot, 0, singles + np.bincount(w, minlength=len(ids)))
+    ones, twos = lambda x: float((x == 1).sum()), lambda x: float((x == 2).sum())
+    sums = {TOKENS: count[real].sum(), KNOWN: real.sum(), ONES: ones(n), TWOS: twos(n), ROOT: root.sum() + count[quiet].sum(), ROOT_ONES: ones(root) + ones(count[quiet]), ROOT_TWOS: twos(root) + twos(count[quiet]), QUIET: count[quiet].sum(), QUIET_WORDS: quiet.sum()}
+    for i, v in sums.items():
+        yield {"kind": SUM, "id": i, "value": float(v)}
+    times = np.bincount(w, minlength=len(ids))
+    for i in np.flatnonzero(real & ~cold).tolist():  # a hot word's singles: its count less that of its repeated types
+        yield {"kind": SUM, "id": int(own[i]), "value": float(count[i]), "gamma": 0.0}
+    for i in np.flatnonzero(is_hot).tolist():
+        yield {"kind": SUM, "id": int(ids[i]), "value": float(-total[i]), "gamma": float(times[i])}
+
+
+@dataclass
+class State:
+    """Types of count over one of a bucket: their words (with the singles of each), contexts, counts and tables."""
+
+    bucket: int
+    ids: np.ndarray
+    is_hot: np.ndarray
+    singles: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
+    count: np.ndarray
     tables: np.ndarray
-    root_customers: int
-    root_tables: int
+    base: np.ndarray | None  # per distinct context, in the order of `owners`: tables of types of count one
+    weight: np.ndarray | None  # per word: its gamma variable
+
+    @staticmethod
+    def of(row: dict, hot: np.ndarray) -> State:
+        ids, times = _ids(row["words"]), _ints(row["times"])
+        base = None if row["base"] is None else _ints(row["base"])
+        weight = None if row["weight"] is None else np.frombuffer(row["weight"], float)
+        return State(row["bucket"], ids, np.isin(ids, hot), _ints(row["singles"]), np.repeat(np.arange(len(ids)), times), _ids(row["contexts"]), _ints(row["types"]), _ints(row["tables"]), base, weight)
+
+    def row(self, buckets: int) -> dict:
+        times = np.bincount(self.word, minlength=len(self.ids))
+        out = {"kind": STATE, "bucket": self.bucket, "words": self.ids.tobytes(), "singles": _bytes(self.singles), "times": _bytes(times), "contexts": self.context.tobytes(), "types": _bytes(self.count), "tables": _bytes(self.tables)}
+        return out | {"base": None if self.base is None else _bytes(self.base), "weight": None if self.weight is None else self.weight.tobytes()}
+
+    def owners(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct contexts by owner, their owners, and each type's place among them."""
+        ids, at = np.unique(self.context, return_inverse=True)
+        owner = bucket_of(ids, buckets).astype(np.int64)
+        order = np.argsort(owner, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        return ids[order], owner[order], place[at]
+
+    def mail(self, buckets: int) -> Iterator[dict]:
+        """Tables by context, to each owner; without ``base`` also the customers."""
+        ids, owner, at = self.owners(buckets)
+        tables = np.bincount(at, self.tables, len(ids))
+        customers = np.bincount(at, self.count, len(ids)) if self.base is None else None
+        edge = np.flatnonzero(np.diff(owner, prepend=-1, append=-2))
+        for a, b in zip(edge.tolist(), edge[1:].tolist()):
+            some = {"types": _bytes(customers[a:b])} if self.base is None else {"base": _bytes(self.base[a:b])}
+            yield {"kind": MAIL, "bucket": int(owner[a]), "peer": self.bucket, "words": ids[a:b].tobytes(), "tables": _bytes(tables[a:b])} | some
+
+
+def contexts_of(rows: list[dict]) -> tuple[list[dict], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An owner's mail by peer, its contexts, each letter's places among them, their tables, and those of count-one types."""
+    mail = sorted((r for r in rows if r["kind"] == MAIL), key=lambda r: r["peer"])
+    ids, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *[_ids(r["words"]) for r in mail]]), return_inverse=True)
+    base = np.zeros(len(ids), np.int64)
+    if mail and mail[0]["base"] is None:
+        own = next(r for r in rows if r["kind"] == OWN)
+        count = _ints(own["counts"])[np.searchsorted(_ids(own["words"]), ids)]
+        base = count - np.bincount(at, np.concatenate([_ints(r["types"]) for r in mail]), len(ids)).astype(np.int64)
+    elif mail:
+        base[at] = np.concatenate([_ints(r["base"]) for r in mail])
+    tables = base + np.bincount(at, np.concatenate([np.zeros(0, np.int64), *[_ints(r["tables"]) for r in mail]]), len(ids)).astype(np.int64)
+    return mail, ids, at, tables, base
+
+
+REPLY = _schema("kind int, bucket int, peer int, base binary, gammas binary")
+
+
+def reply(rows: list[dict], c: Constants, sweep: int) -> Iterator[dict]:
+    """An owner's answer to each bucket: the gamma variables of its contexts, given their tables."""
+    mail, ids, at, tables, base = contexts_of(rows)
+    if not mail:
+        return
+    owner = mail[0]["bucket"]
+    g = np.random.default_rng([c.seed, sweep, owner, 1]).standard_gamma(c.strength / c.discount + tables)
+    end = 0
+    for r in mail:
+        begin, end = end, end + len(r["words"]) // 8
+        yield {"kind": MAIL, "bucket": r["peer"], "peer": owner, "base": _bytes(base[at[begin:end]]), "gammas": g[at[begin:end]].tobytes()}
 
 
 @dataclass(frozen=True)
 class Constants:
-    customers: np.ndarray  # training tokens per cell
+    """Of a whole run."""
+
     tokens: int
     known: int
     discount: float
     root_discount: float
+    hot: np.ndarray  # ids, sorted
+    hot_singles: np.ndarray
+    quiet: float  # customers at the root of words without a repeated type, and their number
+    quiet_words: float
     strength: float = STRENGTH
-    seed: int = 5
-
-
-class Bucket:
-    """All types of some words: replays sweeps from the totals before them."""
-
-    def __init__(self, bucket: int, key: np.ndarray, train: np.ndarray):
-        self.bucket, self.count = bucket, train.astype(np.int64)
-        self.cell = (key & np.uint64(CELLS - 1)).astype(np.int64)
-        word = key >> np.uint64(16)
-        new = np.concatenate(([True], word[1:] != word[:-1])) if len(word) else np.zeros(0, bool)
-        self.word = np.cumsum(new) - 1
-        self.words = int(new.sum())
-        self.word_count = np.bincount(self.word, self.count, self.words).astype(np.int64)
-        self.tables = np.minimum(self.count, 1)
-        self.root()
-
-    def root(self) -> None:
-        self.customers = np.bincount(self.word, self.tables, self.words).astype(np.int64)
-        self.root_tables = np.minimum(self.customers, 1)
-
-    def parent(self, c: Constants, root_customers: int, root_tables: int) -> np.ndarray:
-        rest = c.strength + c.root_discount * root_tables
-        return (self.customers - c.root_discount * self.root_tables + rest / (c.known + 1)) / (c.strength + root_customers)
-
-    def sweep(self, number: int, before: Totals, c: Constants, tables: tuple[np.ndarray, np.ndarray]) -> None:
-        shared = np.random.default_rng([c.seed, number])  # the same in every task
-        g = shared.standard_gamma(c.strength / c.discount + before.tables)
-        g0 = shared.standard_gamma(c.strength / c.root_discount + before.root_tables)
-        own = np.random.default_rng([c.seed, number, self.bucket])
-        p = self.parent(c, before.root_customers, before.root_tables)
-        self.tables = draw_tables(self.count, c.discount * g[self.cell] * p[self.word], c.discount, tables[0], own)
-        self.customers = np.bincount(self.word, self.tables, self.words).astype(np.int64)
-        self.root_tables = draw_tables(self.customers, np.full(self.words, c.root_discount * g0 / (c.known + 1)), c.root_discount, tables[1], own)
-
-    def probabilities(self, now: Totals, c: Constants) -> np.ndarray:
-        """Predictive probability of every type."""
-        p = self.parent(c, now.root_customers, now.root_tables)[self.word]
-        spare = c.strength + c.discount * now.tables[self.cell]
-        return (self.count - c.discount * self.tables + spare * p) / (c.strength + c.customers[self.cell])
-
-
-def _replayed(row: dict, c: Constants, totals: list[Totals], tables) -> Iterator[tuple[int, Bucket]]:
-    bucket = Bucket(row["bucket"], _keys(row["word"], row["times"], row["cell"]), np.frombuffer(row["train"], np.uint32))
-    yield 0, bucket
-    for number, before in enumerate(totals, 1):
-        bucket.sweep(number, before, c, tables)
-        yield number, bucket
-
-
-def _exchange(table: DataFrame, job) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Sums over the buckets of two numbers per cell and of named scalars, added up on the cluster by cell range."""
+    seed: int = SEED
+
+    @property
+    def new(self) -> float:
+        return self.strength + self.root_discount * self.known
+
+
+@dataclass(frozen=True)
+class Root:
+    """The root before a sweep: all words' customers, those of hot words, and the probabilities that it was drawn with."""
+
+    customers: float
+    hot_customers: np.ndarray
+    hot_weight: np.ndarray
+    total: float  # of all gamma variables
+
+    @staticmethod
+    def drawn(c: Constants, customers: float, hot_customers: np.ndarray, cold_gamma: float, sweep: int) -> Root:
+        """Gamma variables of hot words, of quiet words together, and of what is new; those of the others are summed up."""
+        r = np.random.default_rng([c.seed, sweep, 0, 2])
+        hot = r.standard_gamma(np.maximum(hot_customers - c.root_discount, 1e-9))
+        rest = r.standard_gamma(max(c.quiet - c.root_discount * c.quiet_words, 0.0)) + r.standard_gamma(c.new)
+        return Root(customers, hot_customers, hot, float(hot.sum() + rest + cold_gamma))
+
+    @staticmethod
+    def mean(c: Constants, customers: float, hot_customers: np.ndarray) -> Root:
+        return Root(customers, hot_customers, hot_customers - c.root_discount, c.strength + customers)
+
+
+def swept(rows: list[dict], c: Constants, root: Root, sweep: int, buckets: int, tables: np.ndarray) -> Iterator[dict]:
+    """A bucket after a sweep: new state and mail, and sums."""
+    found = [r for r in rows if r["kind"] == STATE]
+    if not found:
+        return
+    s = State.of(found[0], c.hot)
+    letters = sorted((r for r in rows if r["kind"] == MAIL), key=lambda r: r["peer"])
+    g = np.concatenate([np.zeros(0), *[np.frombuffer(r["gammas"], float) for r in letters]])
+    base = np.concatenate([np.zeros(0, np.int64), *[_ints(r["base"]) for r in letters]])
+    _, _, at = s.owners(buckets)
+    customers = s.singles + np.bincount(s.word, s.tables, len(s.ids))
+    weight = customers - c.root_discount if s.weight is None else s.weight
+    if len(c.hot) and s.is_hot.any():
+        weight = np.where(s.is_hot, root.hot_weight[np.minimum(np.searchsorted(c.hot, s.ids), len(c.hot) - 1)], weight)
+    own = np.random.default_rng([c.seed, sweep, s.bucket, 0])
+    drawn = draw_tables(s.count, c.discount * g[at] * (weight / root.total)[s.word], c.discount, tables, own)
+    by_word = np.bincount(s.word, drawn, len(s.ids))
+    customers = s.singles + by_word
+    weight = np.where(s.is_hot, 0.0, own.standard_gamma(np.maximum(customers - c.root_discount, 1e-9)))
+    now = State(s.bucket, s.ids, s.is_hot, s.singles, s.word, s.context, s.count, drawn, base, weight)
+    yield now.row(buckets)
+    yield from now.mail(buckets)
+    yield {"kind": SUM, "id": GAMMA, "value": float(customers[~s.is_hot].sum()), "gamma": float(weight.sum())}
+    for i in np.flatnonzero(s.is_hot).tolist():
+        yield {"kind": SUM, "id": int(s.ids[i]), "value": float(by_word[i])}
+
+
+ANSWER = _schema("chunk int, bucket int, counts binary, customers binary, tables binary, types binary, repeated binary, seated binary")
+
+
+def answers(rows: list[dict], c: Constants, roots: list[Root]) -> Iterator[dict]:
+    """For each chunk: its words' training counts, root customers and tables as contexts (per averaged state), and its types'
+    counts (0, 1, more) with count and summed tables of those that are repeated."""
+    own = next((r for r in rows if r["kind"] == OWN), None)
+    if own is None:
+        return
+    ids, count = _ids(own["words"]), _ints(own["counts"])
+    customers, openings, seated, repeated = [], [], np.zeros(1, np.int64), np.zeros(0, np.int64)
+    for k, root in enumerate(roots):
+        some = [r for r in rows if r["sample"] == k]
+        at_root, opening = count.copy(), count.copy()
+        for r in some:
+            if r["kind"] == STATE:
+                s = State.of(r, c.hot)
+                cold = ~s.is_hot
+                at_root[np.searchsorted(ids, s.ids[cold])] = (s.singles + np.bincount(s.word, s.tables, len(s.ids)))[cold]
+                seated, repeated = seated + s.tables, s.count
+        if len(c.hot):
+            place = np.minimum(np.searchsorted(ids, c.hot), max(len(ids) - 1, 0))
+            mine = (ids[place] == c.hot) & (count[place] > 0) if len(ids) else np.zeros(len(c.hot), bool)
+            at_root[place[mine]] = root.hot_customers[mine]
+        _, contexts, _, tables, _ = contexts_of([*some, own])
+        opening[np.searchsorted(ids, contexts)] = tables
+        customers.append(at_root)
+        openings.append(opening)
+    for r in rows:
+        if r["kind"] == ASK:
+            w, t = _ints(r["words"]), _ints(r["tables"])
+            yield {"chunk": r["chunk"], "bucket": r["bucket"], "counts": _bytes(count[w]), "customers": _bytes(np.stack(customers)[:, w]), "tables": _bytes(np.stack(openings)[:, w]), "types": r["types"], "repeated": _bytes(repeated[t]), "seated": _bytes(seated[t])}
+
+
+def log_scores(chunk: Chunk, rows: list[dict], c: Constants, roots: list[Root]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probability, base score and known tokens of each text of a chunk, from the buckets' answers."""
+    rows = sorted(rows, key=lambda r: r["bucket"])
+    k = len(roots)
+    join = lambda name: np.concatenate([_ints(r[name]) for r in rows])
+    per_sample = lambda name: np.concatenate([_ints(r[name]).reshape(k, -1) for r in rows], axis=1)
+    count, customers, openings = join("counts"), per_sample("customers"), per_sample("tables")
+    kind = np.concatenate([np.frombuffer(r["types"], np.uint8) for r in rows])
+    weight = np.where(kind == 0, 0.0, 1.0 - c.discount)
+    weight[kind == 2] = join("repeated") - c.discount * join("seated") / k
+    back = np.zeros(len(kind))
+    for s, root in enumerate(roots):
+        p = np.where(count > 0, customers[s] - c.root_discount, c.new) / (c.strength + root.customers)
+        back += (c.strength + c.discount * openings[s])[chunk.type_context] * p[chunk.type_word] / k
+    p = (weight + back) / (c.strength + count)[chunk.type_context]
+    texts = len(chunk.size)
+    total = np.bincount(chunk.doc, np.log10(p)[chunk.type], texts)
+    base = np.bincount(chunk.doc, np.log10((count + 1) / (c.tokens + c.known + 1))[chunk.token], texts)
+    return total, base, np.bincount(chunk.doc, (count > 0)[chunk.token], texts).astype(np.int64)
+
+
+# ---------------------------------------------------------------- the operator
+
+
+def hot_words(texts: DataFrame, part: int = HOT) -> np.ndarray:
+    """Ids of at most ``part`` words; every word with 1.5 times a ``part``-th of all tokens or more is among them.
+
+    A batch reports words that have half a ``part``-th of its tokens, with their counts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, scalars = np.zeros((2, CELLS), np.int64), {}
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b, s = job(row)
-                total += np.stack([a, b])
-                for k, v in s.items():
-                    scalars[k] = scalars.get(k, 0) + int(v)
-        parts = total.reshape(2, _RANGES, -1)
-        names = list(scalars)
-        size = np.array([scalars[k] for k in names], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([*range(_RANGES), -1], pa.int32()), pa.array([*[parts[:, r].tobytes() for r in range(_RANGES)], size.tobytes()], pa.binary()), pa.array([*[""] * _RANGES, ",".join(names)], pa.string())], names=["r", "v", "names"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        values = [np.frombuffer(v, np.int64) for v, n in zip(rows["v"].to_pylist(), rows["names"].to_pylist()) if v]
-        name = max(rows["names"].to_pylist())
-        total = sum(values) if values else np.zeros(0, np.int64)
-        return pa.table({"r": pa.array([rows["r"][0].as_py()], pa.int32()), "v": pa.array([np.asarray(total).tobytes()], pa.binary()), "names": pa.array([name], pa.string())})
-
-    source = table.select("bucket", "word", "times", "cell", "train")
-    found = source.mapInArrow(run, "r int, v binary, names string").groupBy("r").applyInArrow(add, "r int, v binary, names string").collect()
-    out, scalars = np.zeros((2, _RANGES, CELLS // _RANGES), np.int64), {}
-    for r in found:
-        values = np.frombuffer(r.v, np.int64)
-        if r.r >= 0:
-            out[:, r.r] = values.reshape(2, -1)
-        elif r.names:
-            scalars = dict(zip(r.names.split(","), values.tolist()))
-    return out[0].reshape(-1), out[1].reshape(-1), scalars
-
-
-def _discount(ones: int, twos: int) -> float:
+            token, _, _ = stream(batch.column(0))
+            ids, n = np.unique(token, return_counts=True)
+            some = n * 2 * part >= len(token)
+            yield pa.RecordBatch.from_arrays([pa.array([*ids[some].astype(np.int64).tolist(), -1], pa.int64()), pa.array([*n[some].tolist(), len(token)], pa.int64())], names=["id", "n"])
+
+    seen = written(texts.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")), "frequent")
+    total = seen.where("id < 0").first()
+    found = seen.where((F.col("id") >= 0) & (F.col("n") * part >= (total.n if total else 0))).select("id").collect()  # `part` rows at most
+    drop(seen)
+    return np.array(sorted(r.id for r in found), np.uint64)
+
+
+def _discount(ones: float, twos: float) -> float:
     return float(np.clip(ones / max(ones + 2 * twos, 1), 0.1, 0.95))
 
 
-def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, averaged: int = AVERAGED, text: str = "text", ident: str = "doc_id", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, averaged: int = AVERAGED, text: str = "text", ident: str = "doc_id", bucket_bytes: int = BUCKET_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity for every row.
 
     Learns from rows whose id's crc32 modulo ``fold`` is not ``held``. ``base_score`` adds one to training counts; ``score`` is
-    the model's log10 probability; ``perplexity`` is 10 to minus the score per token. Null and empty texts are one end token.
-    Repeated rows count and stay; null ids are carried; an empty table gives an empty result; other columns are ignored.
+    the model's log10 probability, in which an unknown word is the one event of a word not seen in training; ``perplexity`` is
+    10 to minus the score per token. Null and empty texts are one end token. Repeated rows count and stay; null ids are
+    carried; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("doc_id"), (remainder(F.col(ident), fold) == held).alias("held"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    volume = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-    buckets = int(volume // bucket_bytes) + 1
-    kind = source.schema["doc_id"].dataType.simpleString()
-    names = ["bucket", "chunk", "place", "doc_id", "held", "n_tokens", "word", "times", "cell", "count", "train", "rows"]
-    schema = f"bucket long, chunk long, place long, doc_id {kind}, held boolean, n_tokens long, word binary, times binary, cell binary, count binary, train binary, rows binary"
-
-    def build(group: pa.Table) -> pa.Table:
-        """One row for a bucket's types and tokens; rows' totals go through."""
-        if group["bucket"][0].as_py() < 0:
-            return group.append_column("chunks", pa.nulls(len(group), pa.binary())).append_column("inverse", pa.nulls(len(group), pa.binary()))
-        rows = group.to_pylist()
-        keys = [_keys(r["word"], r["times"], r["cell"]) for r in rows]
-        every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        train = np.zeros(len(every), np.uint32)
-        at = 0
-        for r, k in zip(rows, keys):
-            train[inverse[at : at + len(k)]] += np.frombuffer(r["train"], np.uint32)
-            at += len(k)
-        word = every >> np.uint64(16)
-        head = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        chunks = np.array([(r["chunk"], r["place"], len(k), len(r["rows"]) // 2) for r, k in zip(rows, keys)], np.int64)
-        values = {
-            "bucket": rows[0]["bucket"], "chunk": None, "place": None, "doc_id": None, "held": None, "n_tokens": None,
-            "word": word[head].tobytes(), "times": np.diff(np.append(head, len(word))).astype(np.uint32).tobytes(), "cell": every.astype(np.uint16).tobytes(),
-            "count": b"".join(r["count"] for r in rows), "train": train.tobytes(), "rows": b"".join(r["rows"] for r in rows), "chunks": chunks.tobytes(), "inverse": inverse.astype(np.uint32).tobytes(),
-        }
-        types = {**{f.name: f.type for f in group.schema}, "chunks": pa.binary(), "inverse": pa.binary()}
-        return pa.table({k: pa.array([values[k]], t) for k, t in types.items()})
-
-    dealt = source.mapInArrow(_chunks(buckets, names), schema)
-    stored = written(dealt.groupBy("bucket").applyInArrow(build, schema + ", chunks binary, inverse binary"), "restaurants")
-    held_rows = stored.where("bucket < 0").select("chunk", "place", "doc_id", "held", "n_tokens")
-    table = stored.where("bucket >= 0")
-
-    def first(row: dict):
-        b = Bucket(row["bucket"], _keys(row["word"], row["times"], row["cell"]), np.frombuffer(row["train"], np.uint32))
-        s = {"tokens": b.count.sum(), "known": (b.word_count > 0).sum(), "ones": (b.count == 1).sum(), "twos": (b.count == 2).sum(), "root_ones": (b.customers == 1).sum(), "root_twos": (b.customers == 2).sum(), "root": b.customers.sum(), "root_tables": b.root_tables.sum()}
-        return np.bincount(b.cell, b.tables, CELLS).astype(np.int64), np.bincount(b.cell, b.count, CELLS).astype(np.int64), s
-
-    tables_of, customers, s = _exchange(table, first)
-    get = lambda k: int(s.get(k, 0))
-    c = Constants(customers, get("tokens"), get("known"), _discount(get("ones"), get("twos")), _discount(get("root_ones"), get("root_twos")))
-    totals = [Totals(tables_of, get("root"), get("root_tables"))]
-    stirling = (log_stirling(c.discount), log_stirling(c.root_discount))
-    for _ in range(sweeps if c.tokens else 0):
-        shared = spark.sparkContext.broadcast((c, totals, stirling))  # a fixed size per sweep
-
-        def again(row: dict, shared=shared):
-            c_, totals_, stirling_ = shared.value
-            for _, b in _replayed(row, c_, totals_, stirling_):
-                pass
-            return np.bincount(b.cell, b.tables, CELLS).astype(np.int64), np.zeros(CELLS, np.int64), {"root": b.customers.sum(), "root_tables": b.root_tables.sum()}
-
-        tables_of, _, s = _exchange(table, again)
-        totals.append(Totals(tables_of, get("root"), get("root_tables")))
-    shared = spark.sparkContext.broadcast((c, totals, stirling))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c_, totals_, stirling_ = shared.value
-        sums: dict[int, np.ndarray] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, v in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([v.tobytes()], pa.binary())], names=["chunk", "sums"])
-            sums.clear()
+    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    volume = docs.agg(F.sum(F.octet_length(raw) + 16)).first()[0] or 0
+    buckets, chunks = int(volume // bucket_bytes) + 1, int(volume // chunk_bytes) + 1
+    source = docs.select(F.col(ident).alias("doc_id"), (remainder(F.col(ident), fold) == held).alias("held"), raw.alias("text"))
+    source = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "held", "text")
+    hot = hot_words(source.select("text"))
+
+    def pack(group: pa.Table) -> pa.Table:
+        chunk = Chunk(group["text"], buckets, hot)
+        number = group["chunk"][0].as_py()
+        return _table([r | {"chunk": number} for r in chunk.requests(group["held"].to_numpy())], REQUEST[1])
+
+    def merged(group: pa.Table) -> pa.Table:
+        return _table(list(merge(group.to_pylist(), buckets, hot)), RESTAURANT[1])
+
+    requests = source.groupBy("chunk").applyInArrow(pack, REQUEST[0])
+    first = written(requests.groupBy("bucket").applyInArrow(merged, RESTAURANT[0]), "restaurants")
+
+    def sums(table: DataFrame) -> dict[int, tuple[float, float]]:
+        found = table.where(F.col("kind") == SUM).groupBy("id").agg(F.sum("value").alias("v"), F.coalesce(F.sum("gamma"), F.lit(0.0)).alias("g")).collect()  # some numbers, and one for each hot word
+        return {r.id: (r.v, r.g) for r in found}
+
+    s = sums(first)
+    get = lambda i: s.get(i, (0.0, 0.0))[0]
+    trained = [int(i) for i in hot if int(i) in s]
+    singles, repeated = np.array([s[i] for i in trained]).reshape(-1, 2).T
+    c = Constants(int(get(TOKENS)), int(get(KNOWN)), _discount(get(ONES), get(TWOS)), _discount(get(ROOT_ONES), get(ROOT_TWOS)), np.array(trained, np.uint64), singles, get(QUIET), get(QUIET_WORDS))
+    root = Root.mean(c, get(ROOT) + (singles + repeated).sum(), singles + repeated)  # every repeated type has one table
+    table = log_stirling(c.discount)
+
+    def gammas(k: int):
+        def run(group: pa.Table) -> pa.Table:
+            return _table(list(reply(group.to_pylist(), c, k)), REPLY[1])
+
+        return run
+
+    def step(k: int, root: Root):
+        def run(group: pa.Table) -> pa.Table:
+            return _table(list(swept(group.to_pylist(), c, root, k, buckets, table)), RESTAURANT[1])
+
+        return run
+
+    own = first.where(F.col("kind") == OWN)
+    states, roots, made = [first], [root], []
+    for k in range(1, (sweeps if c.tokens else 0) + 1):
+        last, root = states[-1], roots[-1]
+
+        mail = last.where(F.col("kind") == MAIL)
+        replies = (mail.unionByName(own) if k == 1 else mail).groupBy("bucket").applyInArrow(gammas(k), REPLY[0])
+        both = last.where(F.col("kind") == STATE).unionByName(replies, allowMissingColumns=True)
+        now = written(both.groupBy("bucket").applyInArrow(step(k, root), RESTAURANT[0]), "sweep")
+        found = sums(now)
+        at_hot = c.hot_singles + np.array([found.get(int(i), (0.0, 0.0))[0] for i in c.hot])
+        customers, gamma = found.get(GAMMA, (0.0, 0.0))
+        states.append(now)
+        roots.append(Root.drawn(c, customers + c.quiet + at_hot.sum(), at_hot, gamma, k))
+        if k > 1 and k - 1 <= sweeps - averaged:
+            drop(last)
+    used = list(range(max(len(states) - averaged, min(1, len(states) - 1)), len(states)))
+    final_roots = [roots[k] for k in used]
+    parts = first.where(F.col("kind").isin(OWN, ASK)).withColumn("sample", F.lit(-1))
+    for n, k in enumerate(used):
+        parts = parts.unionByName(states[k].where(F.col("kind").isin(STATE, MAIL)).withColumn("sample", F.lit(n)))
+
+    def answer(group: pa.Table) -> pa.Table:
+        return _table(list(answers(group.to_pylist(), c, final_roots)), ANSWER[1])
+
+    returned = parts.drop("id", "value", "gamma").groupBy("bucket").applyInArrow(answer, ANSWER[0])
+
+    def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+        chunk = Chunk(texts["text"], buckets, hot)
+        total, base, known = log_scores(chunk, found.to_pylist(), c, final_roots)
+        return pa.table({"doc_id": texts["doc_id"], "held": texts["held"], "n_tokens": pa.array(chunk.size, pa.int64()), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(total)})
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                p, used = 0.0, 0
-                for number, b in _replayed(row, c_, totals_[:-1], stirling_):
-                    if number > len(totals_) - 1 - averaged or len(totals_) == 1:
-                        p, used = p + b.probabilities(totals_[number], c_), used + 1
-                log_p = np.log10(np.maximum(p / used, 1e-300))
-                base = np.log10((b.word_count + 1) / (c_.tokens + c_.known + 1))[b.word]
-                known = (b.word_count > 0)[b.word].astype(float)
-                inverse, count, at = (np.frombuffer(row[k], t) for k, t in (("inverse", np.uint32), ("count", np.uint32), ("rows", np.uint16)))
-                i = j = 0
-                for chunk, n, types, tokens in np.frombuffer(row["chunks"], np.int64).reshape(-1, 4).tolist():
-                    of = np.repeat(inverse[i : i + types], count[i : i + types])
-                    mine = at[j : j + tokens]
-                    part = np.stack([np.bincount(mine, v[of], n) for v in (log_p, base, known)])
-                    sums[chunk] = sums[chunk] + part if chunk in sums else part
-                    i, j = i + types, j + tokens
-                if sum(v.shape[1] for v in sums.values()) > HELD_ROWS:
-                    yield from flush()
-        yield from flush()
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v, np.float64) for v in group["sums"].to_pylist()).reshape(3, -1)
-        n = total.shape[1]
-        return pa.table({"chunk": pa.array(np.full(n, group["chunk"][0].as_py()), pa.int64()), "place": pa.array(np.arange(n), pa.int64()), "score": pa.array(total[0]), "base_score": pa.array(total[1]), "n_known": pa.array(np.rint(total[2]).astype(np.int64))})
-
-    sums = table.select("bucket", "word", "times", "cell", "train", "count", "rows", "chunks", "inverse").mapInArrow(scored, "chunk long, sums binary").groupBy("chunk").applyInArrow(add, "chunk long, place long, score double, base_score double, n_known long")
-    out = held_rows.join(sums, ["chunk", "place"])
+    kind = source.schema["doc_id"].dataType.simpleString()
+    out = source.groupBy("chunk").cogroup(returned.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     per_token = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select(F.col("doc_id").alias(ident), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(c.tokens).cast("long").alias("train_tokens"), "base_score", "score", per_token.alias("perplexity"))
-
-
-__all__ = ["Bucket", "Constants", "Totals", "draw_tables", "drop", "log_stirling", "score", "stream"]
