@@ -23,12 +23,17 @@ PIECE = 1 << 19
 # ---------------------------------------------------------------- storage
 
 
-#: Rows and bytes of an Arrow batch: Python workers hold one batch, so these bound their memory for texts of any length mix.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Rows and bytes of an Arrow batch: Python workers hold one batch, so these bound their memory for texts of any length mix. Shuffle
+#: files go when the execution that made them ends, and not with some later collection: what is needed longer is written.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
 
 
-def small_batches(spark: SparkSession) -> None:
-    for key, value in BATCH.items():
+def settings(spark: SparkSession) -> None:
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
 
 
@@ -45,7 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as a Parquet table in the shared folder and read again: lineage ends there, and a lost executor
     costs a reread."""
     spark = df.sparkSession
-    small_batches(spark)
+    settings(spark)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -64,7 +69,7 @@ def drop(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    small_batches(spark)
+    settings(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
