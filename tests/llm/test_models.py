@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from treeline.llm import common, lines, pitmanyor, toxicity
+from treeline.llm import common, lines, pitmanyor, seating, toxicity
 
 EDGE = [(1, None), (2, ""), (None, "a b c d"), (3, "Same text here"), (3, "Same text here"), (4, "same TEXT  here"), (5, "w " * 3000), (6, "\n\t \x0b"), (7, "é ü 漢字 🙂")]
 
@@ -42,18 +42,18 @@ def test_stirling_numbers_against_recursion_by_enumeration():
             return 1.0 if t == 0 else 0.0
         return sum(math.comb(n - 1, k - 1) * math.prod(j - d for j in range(1, k)) * weight(n - k, t - 1) for k in range(1, n + 1)) if t else 0.0
 
-    table = pitmanyor.log_stirling(d, 7)
+    table = seating.log_stirling(d, 7)
     for n, t in itertools.product(range(1, 8), range(1, 8)):
         assert (t > n and table[n, t] == -np.inf) or abs(math.exp(table[n, t]) - weight(n, t)) < 1e-9 * max(1, weight(n, t))
 
 
 def test_table_draws_follow_their_law():
     d, a, c, n = 0.4, 0.7, 5, 40000
-    table = pitmanyor.log_stirling(d)
-    got = np.bincount(pitmanyor.draw_tables(np.full(n, c), np.full(n, a), d, table, np.random.default_rng(1)), minlength=c + 1)[1:] / n
+    table = seating.log_stirling(d)
+    got = np.bincount(seating.draw_tables(np.full(n, c), np.full(n, a), d, table, np.random.default_rng(1)), minlength=c + 1)[1:] / n
     p = np.exp(table[c, 1 : c + 1] + np.log(a) * np.arange(1, c + 1))
     assert np.abs(got - p / p.sum()).max() < 0.02
-    big = pitmanyor.draw_tables(np.array([1, 0, 5000]), np.array([1.0, 1.0, 50.0]), d, table, np.random.default_rng(1))
+    big = seating.draw_tables(np.array([1, 0, 5000]), np.array([1.0, 1.0, 50.0]), d, table, np.random.default_rng(1))
     assert big[0] == 1 and big[1] == 0 and 1 <= big[2] <= 5000
 
 

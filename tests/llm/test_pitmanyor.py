@@ -34,7 +34,7 @@ class Local:
         d, d0 = discounts or (0.5, 0.6)
         self.c = m.Constants(int(get(m.TOKENS)), int(get(m.KNOWN)), d, d0, np.array(trained, np.uint64), singles, get(m.QUIET), get(m.QUIET_WORDS), seed=seed)
         self.root = m.Root.mean(self.c, get(m.ROOT) + (singles + repeated).sum(), singles + repeated)
-        self.table, self.now, self.number = log_stirling(d), self.first, 0
+        self.now, self.number = self.first, 0
 
     def sums(self, rows):
         out = {}
@@ -56,7 +56,7 @@ class Local:
         mail = [r for r in self.now if r["kind"] == m.MAIL]
         replies = full(x for g in self.of(mail + own) for x in m.reply(g, self.c, self.number))
         state = [r for r in self.now if r["kind"] == m.STATE]
-        self.now = full(x for g in self.of(state + replies) for x in m.swept(g, self.c, self.root, self.number, self.buckets, self.table))
+        self.now = full(x for g in self.of(state + replies) for x in m.swept(g, self.c, self.root, self.number, self.buckets))
         s = self.sums(self.now)
         at_hot = self.c.hot_singles + np.array([s.get(int(i), (0, 0))[0] for i in self.c.hot])
         customers, gamma = s.get(m.GAMMA, (0.0, 0.0))

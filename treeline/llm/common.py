@@ -23,17 +23,12 @@ PIECE = 1 << 19
 # ---------------------------------------------------------------- storage
 
 
-#: Rows and bytes of an Arrow batch: Python workers hold one batch, so these bound their memory for texts of any length mix. Shuffle
-#: files go when the execution that made them ends, and not with some later collection: what is needed longer is written.
-SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "1024",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-}
+#: Rows and bytes of an Arrow batch: Python workers hold one batch, so these bound their memory for texts of any length mix.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
-def settings(spark: SparkSession) -> None:
-    for key, value in SETTINGS.items():
+def small_batches(spark: SparkSession) -> None:
+    for key, value in BATCH.items():
         spark.conf.set(key, value)
 
 
@@ -48,11 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` stored as a Parquet table in the shared folder and read again: lineage ends there, and a lost executor
-    costs a reread."""
+    costs a reread. The driver then collects garbage, so that Spark's cleaner removes the shuffle files that made it."""
     spark = df.sparkSession
-    settings(spark)
+    small_batches(spark)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._treeline_path = path
     return out
@@ -69,7 +65,7 @@ def drop(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    settings(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

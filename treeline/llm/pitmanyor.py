@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,20 @@ def _bytes(values: np.ndarray) -> bytes:
     return bytes([wide]) + values.astype(np.uint64 if wide else np.uint32).tobytes()
 
 
-def _table(rows: list[dict], schema: pa.Schema) -> pa.Table:
-    return pa.table({f.name: pa.array([r.get(f.name) for r in rows], f.type) for f in schema}, schema=schema)
+def _table(rows: Iterator[dict], schema: pa.Schema) -> pa.Table:
+    """Rows as a table, with binary values compressed."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    columns: list[list] = [[] for _ in schema]
+    for r in rows:
+        for values, f in zip(columns, schema):
+            v = r.get(f.name)
+            values.append(pack(v) if isinstance(v, bytes) else v)
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _rows(table: pa.Table) -> list[dict]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [{k: unpack(v) if isinstance(v, bytes) else v for k, v in r.items()} for r in table.to_pylist()]
 
 
 def _schema(text: str) -> tuple[str, pa.Schema]:
@@ -88,7 +101,7 @@ def _schema(text: str) -> tuple[str, pa.Schema]:
 
 
 class Chunk:
-    """The types of some texts in a fixed order: by bucket, then word, then context; and the words by home bucket."""
+    """The types of some texts in a fixed order: by bucket, then word (hot ones last), then context; and the words by home bucket."""
 
     def __init__(self, column: pa.Array, buckets: int, hot: np.ndarray):
         token, self.doc, self.size = stream(column)
@@ -110,14 +123,15 @@ class Chunk:
         self.is_hot = np.isin(self.ids, hot)
         spread = self.is_hot[self.type_word]
         bucket[spread] = bucket_of(mix(self.ids[self.type_context[spread]]), buckets).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.argsort(2 * bucket + spread, kind="stable")
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
         self.type = place[self.type]
         self.bucket, self.type_word, self.type_context = bucket[order], self.type_word[order], self.type_context[order]
 
     def requests(self, held: np.ndarray) -> Iterator[dict]:
-        """For each bucket: its words with training counts, and its types, word by word, with training counts."""
+        """For each bucket: its words with training counts, hot words with types there, and how many types each of these has; the
+        types' contexts and training counts, word by word."""
         train = ~held
         of_word = np.bincount(self.token, train[self.doc], len(self.ids))
         of_word[self.start] = train.sum()
@@ -126,10 +140,11 @@ class Chunk:
             w = slice(*np.searchsorted(self.home, [b, b + 1]))
             t = slice(*np.searchsorted(self.bucket, [b, b + 1]))
             word = self.type_word[t]
-            head = np.flatnonzero(np.diff(word, prepend=-1))
+            heads, times = np.unique(word[self.is_hot[word]], return_counts=True)
+            times = np.concatenate((np.bincount(word[~self.is_hot[word]] - w.start, minlength=w.stop - w.start), times))
             yield {
-                "bucket": b, "words": self.ids[w].tobytes(), "counts": _bytes(of_word[w]), "heads": self.ids[word[head]].tobytes(),
-                "times": _bytes(np.diff(np.append(head, len(word)))), "contexts": self.ids[self.type_context[t]].tobytes(), "types": _bytes(of_type[t]),
+                "bucket": b, "words": self.ids[w].tobytes(), "counts": _bytes(of_word[w]), "heads": self.ids[heads].tobytes(),
+                "times": _bytes(times), "contexts": self.ids[self.type_context[t]].tobytes(), "types": _bytes(of_type[t]),
             }
 
 
@@ -153,7 +168,7 @@ def merge(rows: list[dict], buckets: int, hot: np.ndarray) -> Iterator[dict]:
     own, at = np.unique(np.concatenate(parts), return_inverse=True)
     count = np.bincount(at, np.concatenate([_ints(r["counts"]) for r in rows]), len(own)).astype(np.int64)
     cut = np.cumsum([0, *map(len, parts)])
-    word = np.concatenate([np.repeat(_ids(r["heads"]), _ints(r["times"])) for r in rows])
+    word = np.concatenate([np.repeat(_ids(r["words"] + r["heads"]), _ints(r["times"])) for r in rows])
     context = np.concatenate([_ids(r["contexts"]) for r in rows])
     trained = [_ints(r["types"]) for r in rows]
     train = np.concatenate(trained)
@@ -315,7 +330,7 @@ class Root:
         return Root(customers, hot_customers, hot_customers - c.root_discount, c.strength + customers)
 
 
-def swept(rows: list[dict], c: Constants, root: Root, sweep: int, buckets: int, tables: np.ndarray) -> Iterator[dict]:
+def swept(rows: list[dict], c: Constants, root: Root, sweep: int, buckets: int) -> Iterator[dict]:
     """A bucket after a sweep: new state and mail, and sums."""
     found = [r for r in rows if r["kind"] == STATE]
     if not found:
@@ -330,7 +345,7 @@ def swept(rows: list[dict], c: Constants, root: Root, sweep: int, buckets: int,
     if len(c.hot) and s.is_hot.any():
         weight = np.where(s.is_hot, root.hot_weight[np.minimum(np.searchsorted(c.hot, s.ids), len(c.hot) - 1)], weight)
     own = np.random.default_rng([c.seed, sweep, s.bucket, 0])
-    drawn = draw_tables(s.count, c.discount * g[at] * (weight / root.total)[s.word], c.discount, tables, own)
+    drawn = draw_tables(s.count, c.discount * g[at] * (weight / root.total)[s.word], c.discount, log_stirling(c.discount), own)
     by_word = np.bincount(s.word, drawn, len(s.ids))
     customers = s.singles + by_word
     weight = np.where(s.is_hot, 0.0, own.standard_gamma(np.maximum(customers - c.root_discount, 1e-9)))
@@ -443,10 +458,10 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, a
     def pack(group: pa.Table) -> pa.Table:
         chunk = Chunk(group["text"], buckets, hot)
         number = group["chunk"][0].as_py()
-        return _table([r | {"chunk": number} for r in chunk.requests(group["held"].to_numpy())], REQUEST[1])
+        return _table((r | {"chunk": number} for r in chunk.requests(group["held"].to_numpy())), REQUEST[1])
 
     def merged(group: pa.Table) -> pa.Table:
-        return _table(list(merge(group.to_pylist(), buckets, hot)), RESTAURANT[1])
+        return _table(merge(_rows(group), buckets, hot), RESTAURANT[1])
 
     requests = source.groupBy("chunk").applyInArrow(pack, REQUEST[0])
     first = written(requests.groupBy("bucket").applyInArrow(merged, RESTAURANT[0]), "restaurants")
@@ -461,17 +476,16 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, a
     singles, repeated = np.array([s[i] for i in trained]).reshape(-1, 2).T
     c = Constants(int(get(TOKENS)), int(get(KNOWN)), _discount(get(ONES), get(TWOS)), _discount(get(ROOT_ONES), get(ROOT_TWOS)), np.array(trained, np.uint64), singles, get(QUIET), get(QUIET_WORDS))
     root = Root.mean(c, get(ROOT) + (singles + repeated).sum(), singles + repeated)  # every repeated type has one table
-    table = log_stirling(c.discount)
 
     def gammas(k: int):
         def run(group: pa.Table) -> pa.Table:
-            return _table(list(reply(group.to_pylist(), c, k)), REPLY[1])
+            return _table(reply(_rows(group), c, k), REPLY[1])
 
         return run
 
     def step(k: int, root: Root):
         def run(group: pa.Table) -> pa.Table:
-            return _table(list(swept(group.to_pylist(), c, root, k, buckets, table)), RESTAURANT[1])
+            return _table(swept(_rows(group), c, root, k, buckets), RESTAURANT[1])
 
         return run
 
@@ -498,13 +512,13 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, a
         parts = parts.unionByName(states[k].where(F.col("kind").isin(STATE, MAIL)).withColumn("sample", F.lit(n)))
 
     def answer(group: pa.Table) -> pa.Table:
-        return _table(list(answers(group.to_pylist(), c, final_roots)), ANSWER[1])
+        return _table(answers(_rows(group), c, final_roots), ANSWER[1])
 
     returned = parts.drop("id", "value", "gamma").groupBy("bucket").applyInArrow(answer, ANSWER[0])
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
         chunk = Chunk(texts["text"], buckets, hot)
-        total, base, known = log_scores(chunk, found.to_pylist(), c, final_roots)
+        total, base, known = log_scores(chunk, _rows(found), c, final_roots)
         return pa.table({"doc_id": texts["doc_id"], "held": texts["held"], "n_tokens": pa.array(chunk.size, pa.int64()), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(total)})
 
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
-EXACT = 96  #: counts up to this draw from the Stirling table; larger ones from Stirling numbers by a contour integral
+EXACT = 1024  #: counts up to this draw from the Stirling table; larger ones from Stirling numbers by a contour integral
 _U = np.linspace(-9, 9, 101)  # the contour's parameter
 _NODES = np.cos(np.pi * (np.arange(15) + 0.5) / 15)
 _TO_CHEBYSHEV = np.linalg.inv(np.polynomial.chebyshev.chebvander(_NODES, 14))
 _GRID = 512
 
 
+@lru_cache(4)
 def log_stirling(d: float, most: int = EXACT) -> np.ndarray:
     """log of the generalised Stirling numbers S(n, t) of type (-1, -d, 0), 1 <= t <= n <= ``most``."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -95,6 +98,8 @@ def draw_tables(count: np.ndarray, a: np.ndarray, d: float, table: np.ndarray, r
     cut = np.searchsorted(count[order], np.arange(2, EXACT + 2))
     log_a = np.log(np.maximum(a, 1e-300))
     for c in range(2, EXACT + 1):
+        if cut[c - 2] == cut[c - 1]:
+            continue
         mine = order[cut[c - 2] : cut[c - 1]]
         for k in range(0, len(mine), 1 + 400_000 // c):
             some = mine[k : k + 1 + 400_000 // c]
