@@ -514,7 +514,8 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, a
     def answer(group: pa.Table) -> pa.Table:
         return _table(answers(_rows(group), c, final_roots), ANSWER[1])
 
-    returned = parts.drop("id", "value", "gamma").groupBy("bucket").applyInArrow(answer, ANSWER[0])
+    returned = written(parts.drop("id", "value", "gamma").groupBy("bucket").applyInArrow(answer, ANSWER[0]), "answers")
+    drop(first, *(states[k] for k in used if k))
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
         chunk = Chunk(texts["text"], buckets, hot)
