@@ -66,13 +66,17 @@ def test_anchor_of_every_window_and_equal_windows_agree():
     assert all(len(x) == 1 for x in offsets.values())
 
 
-def test_against_brute_force(spark):
-    for seed, w, k in ((1, 12, 4), (2, 20, 8), (4, 12, 12)):
+def test_against_brute_force(spark, monkeypatch):
+    for seed, w, k, passage, size in ((1, 12, 4, 12, 12 << 20), (2, 20, 8, 13, 12 << 20), (4, 12, 12, 12, 12 << 20), (5, 20, 6, 9, 3000)):
+        monkeypatch.setattr(s, "PART_BYTES", size)  # the last one merges many runs in many parts
+        monkeypatch.setattr(s, "RUN_BYTES", size // 8)
         texts = corpus(seed)
         docs = spark.createDataFrame([(i if i % 9 else None, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string").repartition(3)
-        rows = s.remove_repeats(docs, w, k).collect()
+        rows = s.remove_repeats(docs, w, k, passage=passage).collect()
         want = brute([(t or "").encode() for t in texts], w)
         assert sorted(((r.doc_id or -1), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows) == sorted(((i if i % 9 else -1) or -1, *x) for i, x in enumerate(want))
+        shared = brute([(t or "").encode() for t in texts], passage)
+        assert sorted(((r.doc_id or -1), r.n_bytes, r.n_shared) for r in rows) == sorted(((i if i % 9 else -1) or -1, x[0], x[1]) for i, x in enumerate(shared))
 
 
 def test_long_text_cut_in_pieces(spark, monkeypatch):

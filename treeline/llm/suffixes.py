@@ -14,7 +14,9 @@ move each byte hundreds of times, so suffixes are sorted only where a repeat can
    window at offset o before its anchor is repeated if another context has both the same o bytes on the left and the same
    W - o on the right: both classes are running counts over the two common-prefix arrays. No pairs are formed.
 
-Equal texts are one text with a count; equal contexts are one context with a weight.
+Equal texts are one text with a count; equal contexts are one context with a weight. The same order also tells which bytes are covered
+by shorter repeats (``PASSAGE`` bytes: a copied passage of some 50 words); anchors are chosen in windows of that size, so a window of
+W bytes has one too.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import PIECE, _BYTE, _powers, drop, mix, text_buffers, written
 
-W, K = 400, 128
+W, K = 400, 80
+PASSAGE = 256  #: bytes of a shorter repeat that is reported, and not removed: some 50 words
 RUN_BYTES, PART_BYTES = 16 << 20, 12 << 20
 _LOW = np.uint64((1 << 22) - 1)
 
@@ -184,8 +187,9 @@ def merge(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int,
 # ---------------------------------------------------------------- repeated windows
 
 
-def repeated(rights: list[bytes], lefts: list[bytes], weights: np.ndarray, lcp: np.ndarray, w: int = W, k: int = K) -> list[tuple[int, int, int]]:
-    """(context, first, last + 1): bytes around an anchor that repeated windows cover, from sorted contexts.
+def repeated(rights: list[bytes], lefts: list[bytes], weights: np.ndarray, lcp: np.ndarray, widths: tuple[int, ...] = (W, PASSAGE), k: int = K) -> list[tuple[int, int, int, int]]:
+    """(context, first, last + 1, place of the width): bytes around an anchor that repeated windows of each width cover, from
+    sorted contexts.
 
     ``lefts`` are reversed (nearest byte first); ``lcp`` is each right side's common prefix with the one before. Only contexts
     that share an anchor's K bytes with a neighbour, or have a weight over 1, can have any.
@@ -215,21 +219,21 @@ def repeated(rights: list[bytes], lefts: list[bytes], weights: np.ndarray, lcp:
         before = i
     rank_of = np.empty(len(at), np.int64)
     rank_of[order] = np.arange(len(at))
-    marks = np.zeros((len(at), w - k + 2), bool)
-    for o in range(w - k + 1):
-        valid = np.flatnonzero((left_size >= o) & (right_size >= w - o))
-        if not len(valid):
-            continue
-        right_class = np.cumsum(lcp < w - o)[valid]
-        left_class = np.cumsum(shared < o)[rank_of[valid]]
-        _, where, times = np.unique(right_class * (len(at) + 1) + left_class, return_inverse=True, return_counts=True)
-        times = np.bincount(where, weights[valid])
-        marks[valid, o] = times[where] > 1
-    edge = np.diff(marks.astype(np.int8), axis=1, prepend=0)
     out = []
-    begin, end = np.argwhere(edge == 1), np.argwhere(edge == -1)
-    for (i, o), (_, p) in zip(begin.tolist(), end.tolist()):
-        out.append((int(at[i]), -(p - 1), w - o))
+    for which, w in enumerate(widths):
+        marks = np.zeros((len(at), w - k + 2), bool)
+        for o in range(w - k + 1):
+            valid = np.flatnonzero((left_size >= o) & (right_size >= w - o))
+            if not len(valid):
+                continue
+            right_class = np.cumsum(lcp < w - o)[valid]
+            left_class = np.cumsum(shared < o)[rank_of[valid]]
+            _, where = np.unique(right_class * (len(at) + 1) + left_class, return_inverse=True)
+            marks[valid, o] = np.bincount(where, weights[valid])[where] > 1
+        edge = np.diff(marks.astype(np.int8), axis=1, prepend=0)
+        begin, end = np.argwhere(edge == 1), np.argwhere(edge == -1)
+        for (i, o), (_, p) in zip(begin.tolist(), end.tolist()):
+            out.append((int(at[i]), -(p - 1), w - o, which))
     return out
 
 
@@ -244,8 +248,9 @@ def _identity(right: bytes, left: bytes) -> bytes:
     return hashlib.blake2b(len(right).to_bytes(2, "big") + right + left, digest_size=16).digest()
 
 
-def merged_spans(candidates: DataFrame, w: int, k: int) -> DataFrame:
-    """(key, first, last): bytes of each candidate text that repeated windows cover; spans may overlap."""
+def merged_spans(candidates: DataFrame, widths: tuple[int, ...], k: int) -> DataFrame:
+    """(key, first, last, which): bytes of each candidate text that repeated windows of each width cover; spans may overlap."""
+    w = max(widths)
     volume = candidates.agg(F.sum(F.size("places"))).first()[0] or 0
     parts = max(1, int(volume * (2 * w - k) // PART_BYTES))
     every = max(1, volume // (64 * parts))  # a bounded number of splitter candidates
@@ -328,13 +333,14 @@ def merged_spans(candidates: DataFrame, w: int, k: int) -> DataFrame:
             weights.append(int(found[r][3][p]))
             lcp.append(c)
             ids.append(ident)
-        spans = repeated(rights, lefts, np.array(weights, np.int64), np.array(lcp, np.int64), w, k)
-        return pa.table({"id": pa.array([ids[i] for i, _, _ in spans], pa.binary()), "a": pa.array([a for _, a, _ in spans], pa.int32()), "b": pa.array([b for _, _, b in spans], pa.int32())})
+        spans = repeated(rights, lefts, np.array(weights, np.int64), np.array(lcp, np.int64), widths, k)
+        columns = list(zip(*spans)) or [()] * 4
+        return pa.table({"id": pa.array([ids[i] for i in columns[0]], pa.binary()), **{n: pa.array(v, pa.int32()) for n, v in zip(("a", "b", "which"), columns[1:])}})
 
     coded = exchange.where("part IS NOT NULL").select("part", "head", "rest", "left_size", "left", "weight", "ids")
-    covered = coded.groupBy("part").applyInArrow(combine_runs, "id binary, a int, b int")
+    covered = coded.groupBy("part").applyInArrow(combine_runs, "id binary, a int, b int, which int")
     members = exchange.where("part IS NULL").select("key", "place", "id")
-    return members.join(covered, "id").select("key", (F.col("place") + F.col("a")).alias("first"), (F.col("place") + F.col("b")).alias("last"))
+    return members.join(covered, "id").select("key", (F.col("place") + F.col("a")).alias("first"), (F.col("place") + F.col("b")).alias("last"), "which")
 
 
 # ---------------------------------------------------------------- the operator
@@ -357,12 +363,15 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
     return gone, runs, b"".join(out)
 
 
-def remove_repeats(docs: DataFrame, w: int = W, k: int = K, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null where the text stays whole) for every row.
+def remove_repeats(docs: DataFrame, w: int = W, k: int = K, text: str = "text", ident: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null where the text stays whole), n_shared for every row.
+
+    ``n_shared`` counts the bytes that repeats of ``passage`` bytes (``w`` at most) cover; nothing is removed for their sake.
 
     Texts are UTF-8 bytes (null: empty); what remains may cut a character, hence bytes. Matches stay within a text; equal
     rows are two places. Null ids are carried; an empty table gives an empty result; other columns are ignored.
     """
+    passage = min(passage, w)
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     source = docs.select(F.col(ident).alias("doc_id"), raw.alias("text"))
     source = source.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
@@ -371,7 +380,7 @@ def remove_repeats(docs: DataFrame, w: int = W, k: int = K, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            for doc, place, h in anchors(batch.column(1), w, k):
+            for doc, place, h in anchors(batch.column(1), passage, k):
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64))], names=["key", "place", "h"])
 
     ids = written(source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "sha", key.alias("key")), "ids")
@@ -387,19 +396,22 @@ def remove_repeats(docs: DataFrame, w: int = W, k: int = K, text: str = "text",
         texts = texts.dropDuplicates(["key"])
     candidates = written(texts.select("key", "text", "places"), "candidates")
     drop(found)
-    spans = merged_spans(candidates, w, k).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = merged_spans(candidates, (w, passage), k).groupBy("key").agg(F.collect_set(F.struct("first", "last", "which")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone, runs, kept = [], [], []
-            for t, s in zip(batch.column(1), batch.column(2)):
-                a, b, c = _kept(t.as_buffer().to_pybytes(), [(x["first"], x["last"]) for x in s.as_py()])
+            gone, runs, kept, shared = [], [], [], []
+            for t, found in zip(batch.column(1), batch.column(2)):
+                spans = [[(x["first"], x["last"]) for x in found.as_py() if x["which"] == k] for k in (0, 1)]
+                a, b, c = _kept(t.as_buffer().to_pybytes(), spans[0])
                 gone.append(a)
                 runs.append(b)
                 kept.append(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array([hashlib.sha256(c).hexdigest() for c in kept], pa.string()), pa.array(kept, pa.binary())], names=["key", "n_removed", "n_spans", "kept_sha256", "kept"])
+                shared.append(_kept(t.as_buffer().to_pybytes(), spans[1])[0])
+            numbers = [pa.array(v, pa.int64()) for v in (gone, runs, shared)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([hashlib.sha256(c).hexdigest() for c in kept], pa.string()), pa.array(kept, pa.binary())], names=["key", "n_removed", "n_spans", "n_shared", "kept_sha256", "kept"])
 
-    cuts = candidates.select("key", "text").join(spans, "key").mapInArrow(cut, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cuts = candidates.select("key", "text").join(spans, "key").mapInArrow(cut, "key binary, n_removed long, n_spans long, n_shared long, kept_sha256 string, kept binary")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= w)
     out = ids.join(one, "key").join(cuts, "key", "left")
     pick = lambda all_gone, cut_, none: F.when(whole, all_gone).otherwise(F.coalesce(cut_, none))
@@ -410,4 +422,5 @@ def remove_repeats(docs: DataFrame, w: int = W, k: int = K, text: str = "text",
         pick(F.lit(1).cast("long"), F.col("n_spans"), F.lit(0).cast("long")).alias("n_spans"),
         pick(F.lit(hashlib.sha256(b"").hexdigest()), F.col("kept_sha256"), F.col("sha")).alias("kept_sha256"),
         F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+        F.when((F.col("copies") > 1) & (F.col("n_bytes") >= passage), F.col("n_bytes")).otherwise(F.coalesce("n_shared", F.lit(0).cast("long"))).alias("n_shared"),
     )
