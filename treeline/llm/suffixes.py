@@ -33,7 +33,7 @@ from .common import PIECE, _BYTE, _powers, drop, mix, text_buffers, written
 
 W, K = 400, 80
 PASSAGE = 256  #: bytes of a shorter repeat that is reported, and not removed: some 50 words
-RUN_BYTES, PART_BYTES = 16 << 20, 12 << 20
+RUN_BYTES, PART_BYTES = 10 << 20, 8 << 20
 _LOW = np.uint64((1 << 22) - 1)
 
 
@@ -346,21 +346,14 @@ def merged_spans(candidates: DataFrame, widths: tuple[int, ...], k: int) -> Data
 # ---------------------------------------------------------------- the operator
 
 
-def _kept(raw: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
-    """Removed bytes, maximal removed runs, and what remains."""
-    out, at, runs, gone, end = [], 0, 0, 0, -1
-    for a, b in sorted(spans):
-        a, b = max(a, 0), min(b, len(raw))
-        if a > end:
-            runs += 1
-            out.append(raw[at:a])
-            gone += b - a
-            at = end = b
-        elif b > end:
-            gone += b - end
-            at = end = b
-    out.append(raw[at:])
-    return gone, runs, b"".join(out)
+def _union(first: np.ndarray, last: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Maximal runs that spans cover, within a text of ``size`` bytes."""
+    if not len(first):
+        return []
+    order = np.argsort(first, kind="stable")
+    first, end = np.maximum(first[order], 0), np.maximum.accumulate(np.minimum(last[order], size))
+    head = np.flatnonzero(np.concatenate(([True], first[1:] > end[:-1])))
+    return list(zip(first[head].tolist(), end[np.append(head[1:], len(end)) - 1].tolist()))
 
 
 def remove_repeats(docs: DataFrame, w: int = W, k: int = K, text: str = "text", ident: str = "doc_id", passage: int = PASSAGE) -> DataFrame:
@@ -401,13 +394,14 @@ def remove_repeats(docs: DataFrame, w: int = W, k: int = K, text: str = "text",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gone, runs, kept, shared = [], [], [], []
-            for t, found in zip(batch.column(1), batch.column(2)):
-                spans = [[(x["first"], x["last"]) for x in found.as_py() if x["which"] == k] for k in (0, 1)]
-                a, b, c = _kept(t.as_buffer().to_pybytes(), spans[0])
-                gone.append(a)
-                runs.append(b)
-                kept.append(c)
-                shared.append(_kept(t.as_buffer().to_pybytes(), spans[1])[0])
+            cut_at, (first, last, which) = batch.column(2).offsets.to_pylist(), (np.asarray(x) for x in batch.column(2).values.flatten())
+            for t, i, j in zip(batch.column(1), cut_at, cut_at[1:]):
+                raw = t.as_buffer().to_pybytes()
+                wide, short = (_union(first[i:j][which[i:j] == k], last[i:j][which[i:j] == k], len(raw)) for k in (0, 1))
+                gone.append(sum(b - a for a, b in wide))
+                runs.append(len(wide))
+                kept.append(b"".join(raw[a:b] for a, b in zip([0, *(b for _, b in wide)], [*(a for a, _ in wide), len(raw)])))
+                shared.append(sum(b - a for a, b in short))
             numbers = [pa.array(v, pa.int64()) for v in (gone, runs, shared)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([hashlib.sha256(c).hexdigest() for c in kept], pa.string()), pa.array(kept, pa.binary())], names=["key", "n_removed", "n_spans", "n_shared", "kept_sha256", "kept"])
 
