@@ -78,7 +78,7 @@ def test_depth_first_order_and_empty_folders(spark):
     f = files(spark, [(1, "a/x", "1" * 64), (1, "a.txt", "2" * 64), (1, "b", "3" * 64)])
     empty = spark.createDataFrame([(1, "a/hollow")], "snapshot_id long, path string")
     entries, roots = trees.build_trees(f, empty)
-    walked = trees.walk(spark, entries, roots)
+    walked = trees.walk(entries, roots)
     from pyspark.sql import functions as F
 
     assert [r.path for r in walked.orderBy(F.split("path", "/")).collect()] == ["a", "a/hollow", "a/x", "a.txt", "b"]

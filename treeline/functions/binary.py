@@ -31,8 +31,8 @@ def is_ignored(path: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """12 B, 1.5 KB, 3.2 MB, 1024.0 GB: one decimal from KB on, GB the largest unit."""
-    scaled = lambda k: F.format_string("%.1f", n / float(1024**k))
+    """12 B, 1.5 KB, 3.2 MB, 1024.0 GB: one decimal (halves to even) from KB on, GB the largest unit."""
+    scaled = lambda k: F.format_string("%.1f", F.bround(n / float(1024**k), 1))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(scaled(1), F.lit(" KB"))).when(n < 1024**3, F.concat(scaled(2), F.lit(" MB"))).otherwise(F.concat(scaled(3), F.lit(" GB")))
 
 

@@ -29,9 +29,9 @@ def recover_issues(references: DataFrame, objects: DataFrame, manifest: DataFram
     """(where, object, detail): every issue of the references (path, object) of a snapshot.
 
     A malformed hash, a missing object (with the pack it is stranded in, the first by name), wrong content, and a delta base
-    that is missing. ``objects`` has obj_hash and ok; ``manifest`` target and base; ``quarantined`` pack_name and obj_hash.
+    that is missing. A place is the first in depth-first order. ``objects`` has obj_hash and ok; ``manifest`` target and base; ``quarantined`` pack_name and obj_hash.
     """
-    first = references.groupBy("object").agg(F.min("path").alias("where"))
+    first = references.groupBy("object").agg(F.min_by("path", F.split("path", "/")).alias("where"))  # the first in depth-first order
     stranded = quarantined.groupBy(F.col("obj_hash").alias("object")).agg(F.min("pack_name").alias("pack"))
     checked = first.join(objects.select(F.col("obj_hash").alias("object"), "ok"), "object", "left").join(stranded, "object", "left")
     detail = (
@@ -54,9 +54,3 @@ def recover_report(references: DataFrame, issues: DataFrame, packed: DataFrame,
     c = nodes.join(manifest, nodes["obj_hash"] == manifest["target"]).agg(F.countDistinct("target").alias("delta_dependencies"))
     d = issues.agg(F.count("*").alias("issues")).select("issues", (F.col("issues") == 0).alias("recoverable"))
     return a.join(b).join(c).join(d)  # four single rows
-
-
-def tree_issues(entries: DataFrame, trees: DataFrame) -> DataFrame:
-    """References to trees that are not there: (dir, name, child_hash); a walk reports them and goes on."""
-    known = trees.select(F.col("tree_hash").alias("child_hash")).distinct()
-    return entries.where("kind = 'tree'").join(known, "child_hash", "left_anti").select("dir", "name", "child_hash").distinct()

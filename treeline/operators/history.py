@@ -28,8 +28,9 @@ def renames(files: DataFrame) -> DataFrame:
     return gone.join(come, ["snapshot_id", "blob_hash"]).select("old_path", "new_path", "snapshot_id")
 
 
-def name_chain(spark: SparkSession, links: DataFrame, path: str, most: int = 100) -> DataFrame:
+def name_chain(spark: SparkSession, links: DataFrame, path: str) -> DataFrame:
     """(name, place): every name in a path's chain of renames, oldest first; the last record of a name wins; loops end it."""
+    most = links.count() + 1  # no chain is longer
     later = links.groupBy("old_path").agg(F.max_by("new_path", "snapshot_id").alias("next"))
     earlier = links.groupBy("new_path").agg(F.max_by("old_path", "snapshot_id").alias("prior"))
     later.createOrReplaceTempView("_chain_later")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binary import big_endian
+from ..functions.binary import big_endian, is_hash
 from ..functions.codec import delta_entry, encoded
 
 HEADER = 8  # magic and version: a fixed value of the format
@@ -51,16 +51,17 @@ def bounds_problems(index: DataFrame, packs: DataFrame) -> DataFrame:
     return checked.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("pack_name").agg(F.min_by("reason", "obj_hash").alias("reason"))
 
 
+def damaged_packs(entries: DataFrame) -> DataFrame:
+    """(pack_name, reason): packs with an entry that cannot be right, the first by hash: its name, place or length."""
+    reason = F.when(~is_hash(F.col("obj_hash")), "malformed hash").when(F.col("offset") < HEADER, "offset inside header").when(F.col("length") < 0, "negative length").when(F.coalesce(F.octet_length("entry"), F.lit(-1)) != F.col("length"), "entry of another length")
+    return entries.withColumn("reason", reason).where("reason IS NOT NULL").groupBy("pack_name").agg(F.min_by("reason", "obj_hash").alias("reason"))
+
+
 def locate(index: DataFrame) -> DataFrame:
     """One place per object: the pack with the latest name wins."""
     return index.groupBy("obj_hash").agg(F.max(F.struct("pack_name", "offset", "length")).alias("p")).select("obj_hash", "p.*")
 
 
-def read_entries(index: DataFrame, packs: DataFrame) -> DataFrame:
-    """(obj_hash, stored): bytes of index entries cut from packs (pack_name, content)."""
-    return index.join(packs, "pack_name").select("pack_name", "obj_hash", F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("length").cast("int")).alias("stored"))
-
-
 def tiered(tiers: list[DataFrame]) -> DataFrame:
     """(obj_hash, tier): the first tier that has an object."""
     rows = None

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 
 def shared_folder(spark) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:  # local mode, tests
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="treeline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

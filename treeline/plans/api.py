@@ -18,7 +18,7 @@ def diff_json(repo: Repository, a: str, b: str) -> dict:
 
 def verify_json(repo: Repository) -> dict:
     bad = sorted(r.obj_hash for r in repo.verify().collect())
-    return {"corrupted": bad, "objects_checked": repo.stored().count(), "quarantined_packs": [], "result": "corrupted" if bad else "ok"}
+    return {"corrupted": bad, "objects_checked": repo.stored().count(), "quarantined_packs": [{"pack": k, "reason": v} for k, v in sorted(repo.quarantine().items())], "result": "corrupted" if bad or repo.quarantine() else "ok"}
 
 
 def route(repo: Repository, url: str) -> tuple[int, dict]:

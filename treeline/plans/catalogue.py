@@ -147,13 +147,12 @@ _WALK = """, w(snapshot_id, path, kind, object, depth) AS (
 
 
 def _trees(spark, sf):
-    entries, roots = trees.build_trees(fixture.files(spark, sf))
-    return written(entries, "tree_entries"), written(roots, "roots")
+    return trees.build_trees(fixture.files(spark, sf))
 
 
 def _walked(spark, sf):
     entries, roots = _trees(spark, sf)
-    return trees.walk(spark, entries, roots), entries, roots
+    return trees.walk(entries, roots), entries, roots
 
 
 @query("{VF}" + _TREES + " SELECT snapshot_id, dir, tree_hash FROM th")
@@ -163,7 +162,7 @@ def merkle_dir_hash(spark, sf):
 
 @query("{VF}" + _TREES + " SELECT snapshot_id, tree_hash AS root_tree_hash FROM h1")
 def merkle_root(spark, sf):
-    return _trees(spark, sf)[1]
+    return trees.tree_roots(trees.tree_levels(fixture.files(spark, sf)))
 
 
 @query("{VF}" + _TREES + " SELECT te.snapshot_id, tree_hash, te.dir, name, kind, child_hash FROM te JOIN th USING (snapshot_id, dir)")
@@ -195,14 +194,12 @@ _REACH = _TREES + ", reach AS (SELECT snapshot_id, child_hash AS object FROM te
 
 @query("{VF}" + _REACH + " SELECT object, string_agg(snapshot_id::VARCHAR, ',' ORDER BY snapshot_id) AS snapshots FROM reach GROUP BY 1")
 def reachable_objects(spark, sf):
-    walked, _, roots = _walked(spark, sf)
-    return trees.reachable(walked, roots).groupBy("object").agg(F.array_join(F.transform(F.sort_array(F.collect_set("snapshot_id")), lambda x: x.cast("string")), ",").alias("snapshots"))
+    return trees.reachable(*_trees(spark, sf)).groupBy("object").agg(F.array_join(F.transform(F.sort_array(F.collect_set("snapshot_id")), lambda x: x.cast("string")), ",").alias("snapshots"))
 
 
 @query("{VF}" + _REACH + " SELECT DISTINCT object AS obj_hash FROM reach WHERE object NOT IN (SELECT object FROM reach WHERE snapshot_id <> 2)")
 def gc_garbage(spark, sf):
-    walked, _, roots = _walked(spark, sf)
-    reach = written(trees.reachable(walked, roots), "reach")
+    reach = trees.reachable(*_trees(spark, sf))
     return audit.garbage(reach.select(F.col("object").alias("obj_hash")).distinct(), reach.where("snapshot_id <> 2"))
 
 
@@ -246,7 +243,7 @@ def verify_objects(spark, sf):
 
 
 _RECOVER = """, ref AS (SELECT path, CASE WHEN path LIKE '%3.txt' AND blob_hash LIKE '0%' THEN 'zz' || blob_hash ELSE blob_hash END AS object FROM vf WHERE snapshot_id = 4),
-first AS (SELECT object, min(path) AS place FROM ref GROUP BY 1),
+first AS (SELECT object, arg_min(path, string_split(path, '/')) AS place FROM ref GROUP BY 1),
 obj AS (SELECT DISTINCT blob_hash AS obj_hash, blob_hash NOT LIKE '1%' AS ok FROM vf WHERE blob_hash NOT LIKE 'a%'),
 quar AS (SELECT DISTINCT blob_hash AS obj_hash, 'pack-' || substr(blob_hash, 2, 1) AS pack_name FROM vf WHERE blob_hash LIKE 'a%' AND substr(blob_hash, 2, 1) < '8'),
 man AS (SELECT DISTINCT n.blob_hash AS target, o.blob_hash AS base FROM vf n JOIN vf o ON o.snapshot_id = 3 AND n.snapshot_id = 4 AND o.path = n.path AND o.blob_hash <> n.blob_hash),
@@ -387,29 +384,36 @@ def false_pairings(spark, sf):
 
 # ---------------------------------------------------------------- scalar functions
 
-_BLOCKS = "WITH b AS (SELECT doc_id, i, substr(sha256(text), i * 16 + 1, 16) AS block FROM documents, range(4) t(i))"
+_BYTE = "('0x' || substr(block, 2 * j + 1, 2))::INTEGER"
+_BLOCKS = f"""WITH d AS (SELECT doc_id, hex(encode(text)) AS h FROM documents), c AS (SELECT doc_id, unnest(range((strlen(h) + 127) // 128)) AS i, h FROM d),
+b AS (SELECT doc_id, i, substr(h, i * 128 + 1, 128) AS block FROM c), w AS (SELECT doc_id, i, block, strlen(block) // 2 AS n FROM b),
+x AS (SELECT doc_id, i, (list_sum([(n - j) * {_BYTE} FOR j IN range(n)]) % 65536 * 65536 + list_sum([{_BYTE} FOR j IN range(n)]) % 65536)::BIGINT AS weak, substr(sha256(from_hex(block)), 1, 16) AS strong FROM w)"""
 
 
 def _blocks(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("i"))
-    return docs.select("doc_id", "i", F.substring("h", (F.col("i") * 16 + 1).cast("int"), F.lit(16)).cast("binary").alias("block"))
+    """Every 64-byte block of every text, the last one shorter; an empty text has none."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("t"))
+    starts = F.sequence(F.lit(0).cast("long"), (F.floor((F.octet_length("t") - 1) / codec.BLOCK)).cast("long"))
+    docs = docs.where(F.octet_length("t") > 0).select("doc_id", "t", F.explode(starts).alias("i"))
+    return docs.select("doc_id", "i", F.substring(F.col("t"), (F.col("i") * codec.BLOCK + 1).cast("int"), F.lit(codec.BLOCK)).alias("block"))
 
 
-@query(_BLOCKS + " SELECT doc_id, i, (list_sum([(16 - j) * ascii(substr(block, j + 1, 1)) FOR j IN range(16)]) % 65536 * 65536 + list_sum([ascii(substr(block, j + 1, 1)) FOR j IN range(16)]) % 65536)::BIGINT AS weak FROM b")
+@query(_BLOCKS + " SELECT doc_id, i, weak FROM x")
 def weak_checksum_blocks(spark, sf):
     return _blocks(spark, sf).select("doc_id", "i", binary.weak_checksum(F.col("block")).alias("weak"))
 
 
-@query(_BLOCKS + " SELECT doc_id, i, substr(sha256(block), 1, 16) AS strong FROM b")
+@query(_BLOCKS + " SELECT doc_id, i, strong FROM x")
 def strong_checksum_blocks(spark, sf):
     return _blocks(spark, sf).select("doc_id", "i", binary.strong_checksum(F.col("block")).alias("strong"))
 
 
-@query("WITH b AS (SELECT substr(sha256(text), i + 1, 2) AS block, doc_id * 8 + i AS pos FROM documents, range(8) t(i)) SELECT (16 * 0 + 2 * ascii(substr(block, 1, 1)) + ascii(substr(block, 2, 1))) * 65536 + ascii(substr(block, 1, 1)) + ascii(substr(block, 2, 1)) AS weak, count(*) AS n, min(pos) AS first_at FROM b GROUP BY 1")
+@query(_BLOCKS + " SELECT doc_id, weak, strong, string_agg((i * 64)::VARCHAR, ',' ORDER BY i) AS offsets FROM x GROUP BY ALL")
 def block_signatures(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.sha2("text", 256).alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("i"))
-    blocks = docs.select(binary.weak_checksum(F.substring("h", (F.col("i") + 1).cast("int"), F.lit(2)).cast("binary")).alias("weak"), (F.col("doc_id") * 8 + F.col("i")).alias("at"))
-    return blocks.groupBy("weak").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+    """Each text's signature: weak and strong sum of its blocks with the offsets where they occur."""
+    blocks = _blocks(spark, sf).select("doc_id", "i", binary.weak_checksum(F.col("block")).alias("weak"), binary.strong_checksum(F.col("block")).alias("strong"))
+    offsets = F.transform(F.sort_array(F.collect_list("i")), lambda i: (i * codec.BLOCK).cast("string"))
+    return blocks.groupBy("doc_id", "weak", "strong").agg(F.array_join(offsets, ",").alias("offsets"))
 
 
 @query("{VF}, refs AS (SELECT unnest(['2', 'release', '99', 'nope', '4']) AS ref), tags AS (SELECT 'release' AS name, 3::BIGINT AS snapshot_id), ids AS (SELECT DISTINCT snapshot_id FROM vf) SELECT ref, coalesce(i.snapshot_id, t.snapshot_id) AS snapshot_id FROM refs LEFT JOIN ids i ON regexp_full_match(ref, '[0-9]+') AND i.snapshot_id = try_cast(ref AS BIGINT) LEFT JOIN tags t ON NOT regexp_full_match(ref, '[0-9]+') AND name = ref")
@@ -498,12 +502,12 @@ def delta_savings(spark, sf):
     return packs.savings(_chosen(spark, sf))
 
 
-@query("{VF}" + _TREES + " SELECT tree_hash, name, kind, child_hash FROM te JOIN th USING (snapshot_id, dir) WHERE snapshot_id = 4")
+@query("{VF}" + _TREES + " SELECT DISTINCT tree_hash, name, kind, child_hash FROM te JOIN th USING (snapshot_id, dir)")
 def parse_trees(spark, sf):
-    """Trees of snapshot 4 to their binary form and back through the table function."""
-    entries = _trees(spark, sf)[0].where("snapshot_id = 4")
+    """All trees, each once, to their binary form and back through the table function."""
+    entries = _trees(spark, sf)[0].drop("snapshot_id", "dir").distinct()
     hexed = F.concat(F.when(F.col("kind") == "blob", F.lit("62")).otherwise(F.lit("74")), binary.big_endian(F.octet_length("name"), 2), F.hex("name"), F.hex("child_hash"))
-    stored = entries.groupBy("dir", "tree_hash").agg(F.array_sort(F.collect_list(F.struct("name", hexed.alias("h")))).alias("e")).select("tree_hash", F.unhex(F.array_join(F.transform("e", lambda x: x["h"]), "")).alias("content"))
+    stored = entries.groupBy("tree_hash").agg(F.array_sort(F.collect_list(F.struct("name", hexed.alias("h")))).alias("e")).select("tree_hash", F.unhex(F.array_join(F.transform("e", lambda x: x["h"]), "")).alias("content"))
     spark.udtf.register("tree_entries_of", codec.TreeEntries)
     stored.createOrReplaceTempView("_stored_trees")
     return spark.sql("SELECT t.tree_hash, e.name, e.kind, e.child_hash FROM _stored_trees t, LATERAL tree_entries_of(t.content) e")

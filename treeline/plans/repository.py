@@ -63,6 +63,7 @@ class Repository:
         if not os.path.exists(self._at("CURRENT")):
             raise RepositoryError(f"no repository at {self.path}")
         spark.dataSource.register(DirectorySource)
+        self._checked, self._bad = (), {}
 
     @classmethod
     def init(cls, spark: SparkSession, path: str) -> Repository:
@@ -111,9 +112,26 @@ class Repository:
     def tree_entries(self) -> DataFrame:
         return self._table("trees", schemas.TREE_ENTRIES)
 
-    def packed(self) -> DataFrame:
+    def every_packed(self) -> DataFrame:
         return self._table("packs", "pack_name string, obj_hash string, kind string, base_hash string, entry binary, offset bigint, length bigint, size bigint")
 
+    def quarantine(self) -> dict[str, str]:
+        """Damaged packs with the reason: none of their objects is read. Looked up once per set of packs."""
+        now = tuple(self._current()["packs"])
+        if now and self._checked != now:
+            self._bad = {r.pack_name: r.reason for r in packs.damaged_packs(self.every_packed()).collect()}  # a row per damaged pack
+            self._checked = now
+        return self._bad if now else {}
+
+    def packed(self) -> DataFrame:
+        bad = self.quarantine()
+        return self.every_packed().where(~F.col("pack_name").isin(*bad)) if bad else self.every_packed()
+
+    def quarantined(self) -> DataFrame:
+        """(pack_name, obj_hash) of what damaged packs hold."""
+        bad = self.quarantine()
+        return self.every_packed().where(F.col("pack_name").isin(*bad) if bad else F.lit(False)).select("pack_name", "obj_hash")
+
     def stored(self) -> DataFrame:
         """(obj_hash, original_size, stored_size) of every tier, each object once."""
         loose = self.objects().select("obj_hash", "original_size", "stored_size")
@@ -250,7 +268,7 @@ class Repository:
         return self.spark.createDataFrame(rows, "snapshot_id long, root_tree_hash string")
 
     def walk(self, ids: list[int] | None = None) -> DataFrame:
-        return trees.walk(self.spark, self.tree_entries(), self._roots(ids))
+        return trees.walk(self.tree_entries(), self._roots(ids))
 
     def files(self, ids: list[int] | None = None) -> DataFrame:
         return trees.flatten(self.walk(ids))
@@ -268,20 +286,30 @@ class Repository:
         return compare.diff(both.where(F.col("snapshot_id") == a), both.where(F.col("snapshot_id") == b))
 
     def preview(self, ref: str | int, folder: str) -> DataFrame:
-        """What a restore would do: added and modified are written, removed stay on disk; ``ok``: the content is sound."""
-        disk = self._scan(folder).where("kind = 'blob'").select("path", F.sha2("content", 256).alias("blob_hash"))
+        """What a restore would do: added and modified are written, removed stay on disk; ``ok``: the content is sound.
+
+        An absent folder counts as empty.
+        """
+        if os.path.exists(folder):
+            disk = self._scan(folder).where("kind = 'blob'").select("path", F.sha2("content", 256).alias("blob_hash"))
+        else:
+            disk = self.spark.createDataFrame([], "path string, blob_hash string")
         changes = written(compare.restore_preview(disk, self.files([self.resolve(ref)])), "preview")
         wanted = changes.where("change <> 'removed'").select(F.col("new_hash").alias("obj_hash"))
         sound = self.contents(wanted).select(F.col("obj_hash").alias("new_hash"), F.col("problem").isNull().alias("ok"))
         return changes.join(sound, "new_hash", "left").select("path", "change", "old_hash", "new_hash", F.coalesce("ok", F.col("change") == "removed").alias("ok"))
 
     def restore(self, ref: str | int, folder: str) -> int:
-        """Writes added and modified files; nothing at all if any of them is unsound. Returns how many."""
+        """Writes added and modified files; nothing at all, not even an absent folder, if any is unsound. Returns how many."""
+        k = self.resolve(ref)
+        if not trees.lost_trees(self.tree_entries(), self.walk([k]), self._roots([k])).isEmpty():
+            raise IntegrityError("a tree of the snapshot is lost; nothing was written")
         plan = written(self.preview(ref, folder), "plan")
         if not plan.where("NOT ok").isEmpty():
             raise IntegrityError("damaged objects; nothing was written")
         todo = plan.where("change <> 'removed'").select("path", F.col("new_hash").alias("obj_hash"))
         top = os.path.abspath(folder)
+        os.makedirs(top, exist_ok=True)
 
         def write(rows) -> None:
             for r in rows:
@@ -306,27 +334,38 @@ class Repository:
     def recover_check(self, ref: str | int) -> tuple[dict, list[dict]]:
         k = self.resolve(ref)
         record = self.load(k)
-        walked = written(self.walk([k]), "walk")
+        walked = self.walk([k])
         refs = walked.select("path", "object").unionByName(self.spark.createDataFrame([(".", record["root_tree_hash"])], "path string, object string"))
         objs = self.contents(refs.select(F.col("object").alias("obj_hash"))).select("obj_hash", F.col("problem").isNull().alias("ok"))
         packed = self.packed()
         manifest = packed.where("kind = 'D'").select(F.col("obj_hash").alias("target"), F.col("base_hash").alias("base"))
         everything = objs.unionByName(self.stored().select("obj_hash", F.lit(True).alias("ok"))).groupBy("obj_hash").agg(F.bool_and("ok").alias("ok"))
-        issues = written(audit.recover_issues(refs, everything, manifest, self.spark.createDataFrame([], "pack_name string, obj_hash string")), "issues")
+        lost = trees.lost_trees(self.tree_entries(), walked, self._roots([k])).select(F.col("path").alias("where"), "object", F.lit("unreadable tree").alias("detail"))
+        found = audit.recover_issues(refs, everything, manifest, self.quarantined())
+        later = [r["id"] for r in self.list() if r["parent"] is not None and r["parent"] >= r["id"]]  # a parent comes before its snapshot
+        chain = self.spark.createDataFrame([(f"snapshot {i}", "", "parent is not older") for i in later], "where string, object string, detail string")
+        issues = written(found.unionByName(lost.join(found.select("object"), "object", "left_anti")).unionByName(chain), "issues")
         report = audit.recover_report(refs, issues, packed, manifest).first().asDict()
         return {"snapshot": k, "message": record["message"], "root_tree_hash": record["root_tree_hash"], **report}, [r.asDict() for r in issues.orderBy("where", "object").collect()]
 
     def reachable(self) -> DataFrame:
         """(owner, object) of everything that live snapshots need, delta bases included."""
         roots = self._roots()
-        base = trees.reachable(trees.walk(self.spark, self.tree_entries(), roots), roots).select(F.col("snapshot_id").alias("owner"), "object")
+        base = trees.reachable(self.tree_entries(), roots).select(F.col("snapshot_id").alias("owner"), "object")
         links = self.packed().where("kind = 'D'").select(F.col("obj_hash").alias("target"), F.col("base_hash").alias("base"))
         return trees.closure(links, base) if self._current()["packs"] else base
 
     def gc(self) -> dict:
         """Drops what no live snapshot needs: new generations are written, then CURRENT is replaced, then old folders go."""
         with self.lock():
+            if self.quarantine():
+                raise IntegrityError(f"damaged packs {sorted(self.quarantine())}; nothing was deleted")
             need = written(self.reachable().select("object").distinct(), "need")
+            known = self.tree_entries().select(F.col("tree_hash").alias("object")).distinct()
+            below = self.tree_entries().where("kind = 'tree'").select(F.col("child_hash").alias("object"), F.col("tree_hash").alias("target")).join(need.withColumnRenamed("object", "target"), "target", "left_semi").select("object")
+            asked = self._roots().select(F.col("root_tree_hash").alias("object")).unionByName(below).where(F.col("object") != EMPTY_HASH)
+            if not asked.join(known, "object", "left_anti").isEmpty():  # what they lead to is unknown, and may be all that is left
+                raise IntegrityError("the rows of a live tree are lost; nothing was deleted")
             missing = self.tree_entries().where("kind = 'tree'").select(F.col("child_hash").alias("object")).distinct().join(need, "object", "left_semi")
             if not missing.join(self.stored().select(F.col("obj_hash").alias("object")), "object", "left_anti").isEmpty():
                 raise IntegrityError("a live tree is missing; nothing was deleted")
@@ -356,7 +395,11 @@ class Repository:
             name = name or f"pack-{len(old['packs']) + 1}-{uuid.uuid4().hex[:8]}"
             if not self.packed().where(F.col("pack_name") == name).isEmpty():
                 raise RepositoryError(f"pack {name} exists")
-            loose = written(self.contents(self.objects()).where("problem IS NULL").select("obj_hash", "content"), "loose")
+            read = written(self.contents(self.objects()), "read")
+            damaged = read.where("problem IS NOT NULL OR content IS NULL").count()
+            if damaged or self.objects().select("obj_hash").distinct().join(read, "obj_hash", "left_anti").count():
+                raise IntegrityError(f"{damaged} damaged loose objects; nothing was packed or deleted")
+            loose = read.select("obj_hash", "content")
             candidates = history.delta_candidates(self.files()) if len(self.ids()) > 1 else self.spark.createDataFrame([], "target_hash string, base_hash string")
             chosen = written(packs.choose_entries(loose, candidates), "chosen")
             sizes = loose.select("obj_hash", F.octet_length("content").cast("long").alias("size"))
@@ -380,7 +423,8 @@ class Repository:
         chain = history.name_chain(self.spark, written(history.renames(files), "renames"), path)
         rows = history.lineage(history.path_history(files), chain).orderBy("snapshot_id", "place").collect()
         names = sorted(r["name"] for r in chain.collect() if r["name"] != path)
-        return {"path": path, "entries": [{"snapshot": r.snapshot_id, "blob_hash": r.blob_hash, "path_at": r.path_at} for r in rows], "also_known_as": names}
+        about = {r["id"]: {"timestamp": r["timestamp"], "message": r["message"]} for r in self.list()}
+        return {"path": path, "entries": [{"snapshot": r.snapshot_id, "blob_hash": r.blob_hash, "path_at": r.path_at, **about[r.snapshot_id]} for r in rows], "also_known_as": names}
 
     def status(self, deep: bool = False) -> dict:
         n = self.stored().agg(F.count("*").alias("n"), F.coalesce(F.sum("stored_size"), F.lit(0)).alias("b")).first()
