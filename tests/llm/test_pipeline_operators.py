@@ -305,3 +305,23 @@ def test_pipeline_against_its_parts(spark):
             assert set(least.values()) <= kept and len(kept) <= len(least) + 3  # a block may miss a pair near 0.8
     assert sorted(map(tuple, c.run(spark, sf).collect())) == sorted(map(tuple, docs.collect()))
     assert sizes[0] < 200 and sizes[-1] == sizes[-2] > 100
+
+
+def test_slot_map_is_stored_and_edited(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "x" * (k % 90)) for k in range(3000)], "doc_id long, text string")
+    path = f"file://{tmp_path}/map"
+    first = sharding.assign(docs, 5, slots=256, map_path=path).collect()
+    versions = spark.read.parquet(path).select("version").distinct().count()
+    assert versions == 2 and {r.map_version for r in first} == {2}
+    again = sharding.assign(docs, 5, slots=256, map_path=path).collect()  # nothing to move: no further version
+    assert sorted((r.doc_id, r.shard, r.slot) for r in again) == sorted((r.doc_id, r.shard, r.slot) for r in first)
+    more = spark.createDataFrame([(k, "y" * 400) for k in range(3000, 3400)], "doc_id long, text string").unionByName(docs)
+    later = sharding.assign(more, 5, slots=256, map_path=path).collect()
+    moved = {r.doc_id: r.shard for r in later}
+    assert sum(moved[r.doc_id] != r.shard for r in first) < 0.5 * len(first)
+    grown = sharding.assign(more, 6, slots=256, map_path=path).collect()
+    assert {r.shard for r in grown} == set(range(6)) and {r.map_version for r in grown} > {2}.difference({2})
+    sizes = [sum(r.size for r in grown if r.shard == s) for s in range(6)]
+    assert max(sizes) < 1.1 * min(sizes)
+    with pytest.raises(ValueError):
+        sharding.assign(docs, 3, slots=256, map_path=path)

@@ -103,8 +103,8 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int, int, int
     end, and to a match before a gap.
     """
     m = len(window)
-    ramp = np.arange(1, m + 1) * -GAP
-    rows = np.zeros((len(item) + 1, m + 1), np.int64)
+    ramp = np.arange(1, m + 1, dtype=np.int32) * -GAP
+    rows = np.zeros((len(item) + 1, m + 1), np.int32)
     for i, word in enumerate(item):
         best = np.maximum(rows[i, :-1] + np.where(window == word, MATCH, MISMATCH), rows[i, 1:] + GAP)
         np.maximum(best, 0, out=best)
@@ -141,6 +141,17 @@ def _hits(h: np.ndarray, doc: np.ndarray, model: Seeds) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _windows(spans: list[list[int]], stop: int, size: int) -> Iterator[tuple[int, int]]:
+    """Spans in overlapping windows of bounded length. An alignment of a positive score has at most three words of the text for
+    each of the item's (MATCH pays for two gaps), so one of the windows holds it whole."""
+    reach = 3 * size + 16
+    for low, high in spans:
+        high = min(high, stop)
+        yield low, min(high, low + 2 * reach)
+        for a in range(low + reach, high - reach, reach):
+            yield a, min(high, a + 2 * reach)
+
+
 def _matches(column: pa.Array, model: Seeds, similarity: float) -> dict[tuple[int, int], tuple]:
     """Best alignment per (row, item): (score, similarity, first and last + 1 word of the row, of the item)."""
     widest = max((len(x) for x in model.items), default=0)
@@ -172,8 +183,8 @@ def _matches(column: pa.Array, model: Seeds, similarity: float) -> dict[tuple[in
                 d = int(doc[s])
                 stop = int(np.searchsorted(doc, d, "right"))
                 own = base if d == w.docs[0] else 0
-                for low, high in spans:
-                    score, i0, i1, j0, j1 = align(model.items[k], h[low : min(high, stop)])
+                for low, high in _windows(spans, stop, len(model.items[k])):
+                    score, i0, i1, j0, j1 = align(model.items[k], h[low:high])
                     like = score / (MATCH * len(model.items[k]))
                     if like >= similarity and (score, -(own + low - s + j0)) > (lambda b: (b[0], -b[2]) if b else (0, 0))(found.get((d, k))):
                         found[d, k] = (score, like, own + low - s + j0, own + low - s + j1, i0, i1)
@@ -236,7 +247,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no test item, unchanged; nothing is shuffled."""
+    """The rows of ``docs`` whose text holds no test item, unchanged; nothing is shuffled.
+
+    Null and empty texts hold none and stay, as do all rows where the benchmark is empty; repeated rows stay or go together;
+    ids are not looked at; other columns are passed on, whatever their names.
+    """
     place = docs.columns.index(text)
     out = docs
     for model in _models(docs.select(F.col(text).cast("string").alias("text")), benchmark):

@@ -63,13 +63,15 @@ def statistics(column: pa.Array) -> np.ndarray:
     size = np.diff(at).astype(float)
     kinds = np.zeros((n, 8))
     count, length, square, short, marked, distinct, top, triples, triple, lines, line = (np.zeros(n) for _ in range(11))
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # words of a text that is not complete yet, and their lines
+    newlines = 0
     for w in words(column, lower=True, limit=PIECE):
-        # one piece holds whole texts, or a part of one long text: counts add up, distinct counts too (per part)
+        # a piece holds whole texts, a part of a long one, or the end of one and whole texts: counts add up, and what is distinct is told of whole texts
         i, j = w.docs
-        cuts = at[i : j + 1] - at[i]
+        cuts = np.maximum(at[i : j + 1] - at[j] + len(w.data), 0) if w.last else np.array([0, len(w.data)])  # the first text may have begun before
         kind = _KIND[w.data]
-        some = np.flatnonzero(np.diff(cuts)) if cuts[-1] == len(w.data) else np.zeros(1, np.int64)
-        begin = cuts[some] if cuts[-1] == len(w.data) else some
+        some = np.flatnonzero(np.diff(cuts))
+        begin = cuts[some]
         if len(w.data):
             for k in range(1, 8):
                 kinds[i + some, k] += np.add.reduceat(kind == k, begin, dtype=np.int64)
@@ -80,20 +82,28 @@ def statistics(column: pa.Array) -> np.ndarray:
         short += np.bincount(w.doc, long <= 3, minlength=n)
         if len(w.end):
             marked += np.bincount(w.doc, _KIND[w.data[w.end - 1]] == 4, minlength=n)
-        a, b = _distinct(w.doc, w.hashes, n)
+        ends = np.concatenate(([0], np.cumsum(w.data == 10)))
+        held.append((w.hashes, newlines + ends[w.start]))
+        if not w.last:
+            newlines += int(ends[-1])
+            continue
+        before = sum(len(x) for x, _ in held[:-1])
+        hashes, newline = (np.concatenate(x) for x in zip(*held))
+        doc = np.concatenate((np.full(before, i), w.doc))
+        held, newlines = [], 0
+        a, b = _distinct(doc, hashes, n)
         distinct, top = distinct + a, np.maximum(top, b)
-        h3 = combine(w.hashes, 3)
-        inside = w.doc[: len(h3)] == w.doc[len(w.doc) - len(h3) :]
-        a, _ = _distinct(w.doc[: len(h3)][inside], h3[inside], n)
-        triples, triple = triples + a, triple + np.bincount(w.doc[: len(h3)][inside], minlength=n)
-        if len(w.hashes):  # lines: runs of words without a newline between
-            newline = np.concatenate(([0], np.cumsum(w.data == 10)))[w.start]
-            head = np.flatnonzero(np.concatenate(([True], (newline[1:] != newline[:-1]) | (w.doc[1:] != w.doc[:-1]))))
-            place = np.arange(len(w.hashes)) - np.repeat(head, np.diff(np.append(head, len(w.hashes))))
+        h3 = combine(hashes, 3)
+        inside = doc[: len(h3)] == doc[len(doc) - len(h3) :]
+        a, _ = _distinct(doc[: len(h3)][inside], h3[inside], n)
+        triples, triple = triples + a, triple + np.bincount(doc[: len(h3)][inside], minlength=n)
+        if len(hashes):  # lines: runs of words without a newline between
+            head = np.flatnonzero(np.concatenate(([True], (newline[1:] != newline[:-1]) | (doc[1:] != doc[:-1]))))
+            place = np.arange(len(hashes)) - np.repeat(head, np.diff(np.append(head, len(hashes))))
             with np.errstate(over="ignore"):
-                h = np.add.reduceat(w.hashes * (2 * place + 1).astype(np.uint64), head)
-            a, _ = _distinct(w.doc[head], h, n)
-            lines, line = lines + a, line + np.bincount(w.doc[head], minlength=n)
+                h = np.add.reduceat(hashes * (2 * place + 1).astype(np.uint64), head)
+            a, _ = _distinct(doc[head], h, n)
+            lines, line = lines + a, line + np.bincount(doc[head], minlength=n)
     some = np.maximum(count, 1)
     mean = length / some
     return np.column_stack([
@@ -219,7 +229,10 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, fold: in
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 60_000, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose posterior of label 1 is at least ``threshold``, unchanged; no text is shuffled.
 
-    Fitted on at most ``sample`` labelled ids (those of the smallest id hash), so that they can be sent to the documents.
+    Fitted on at most ``sample`` labelled ids (those of the smallest id hash), so that they can be sent to the documents. A null
+    or empty text has the posterior of its (empty) statistics, a long one that of the whole text; null ids are judged like
+    any other, repeated rows are kept or dropped together, an id with several labels counts with the largest; without labels
+    every row stays; an empty table stays empty; other columns are passed on, whatever their names.
     """
     ids = bounded_sample(labelled(labels, "quality"), sample)
     train = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")  # at most `sample` rows of 12 bytes

@@ -267,7 +267,7 @@ PACKETS = "doc_id {0}, packet long, track long, timestamp_ns long, first_byte lo
 def packets(media: DataFrame, column: str = "media", ident: str = "doc_id") -> DataFrame:
     """The packet table of a binary column: a row per packet, in file order.
 
-    Null gives no row; bytes that cannot be parsed give one row with ``error`` set and the rest null.
+    Null gives no row; bytes that cannot be parsed, or hold a number beyond 64 bits, give one row with ``error`` set and the rest null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,10 @@ def packets(media: DataFrame, column: str = "media", ident: str = "doc_id") -> D
                 if not value.is_valid:
                     continue
                 try:
-                    rows += [(k, n, *p, None) for n, p in enumerate(parse(value.as_py()).packets)]
+                    found = [(k, n, *p, None) for n, p in enumerate(parse(value.as_py()).packets)]
+                    if any(abs(x) >= 1 << 63 for row in found for x in row[2:6]):
+                        raise MediaError("a number does not fit in 64 bits")
+                    rows += found
                 except MediaError as error:
                     rows.append((k, *[None] * 7, str(error)))
             if rows:

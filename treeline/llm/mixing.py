@@ -169,7 +169,11 @@ def coin(ident):
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, near: float = NEAR, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """``docs`` as mixed: each row as many times as `mix` gives copies, its columns unchanged; no text is shuffled."""
+    """``docs`` as mixed: each row as many times as `mix` gives copies, its columns unchanged; no text is shuffled.
+
+    Null and empty texts, ties, repeated rows, null ids, empty tables and missing labels are as in `mix`; other columns are
+    passed on, whatever their names.
+    """
     plain = docs.select(F.col(ident).alias("doc_id"), F.col(text).cast("string").alias("text"))
     lexicon, model, rows = _classifier(plain, labels)
     members = written(posteriors(rows, model, ("doc_id", "n_tokens")), "membership")

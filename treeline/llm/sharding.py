@@ -8,12 +8,13 @@ and rows of each slot come to the driver: a fixed number of small rows, whatever
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 
 SLOTS = 4096
 
@@ -46,12 +47,18 @@ class SlotMap:
         return SlotMap(version, found[0][2], tuple(r[1] for r in found))
 
 
+def stored_map(spark: SparkSession, path: str) -> SlotMap | None:
+    """The latest version at ``path``, if there is one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return SlotMap.load(spark, path) if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where) else None
+
+
 def first_map(shards: int, slots: int = SLOTS) -> SlotMap:
     return SlotMap(1, shards, tuple(slot % shards for slot in range(slots)))
 
 
 def rebalance(now: SlotMap, weight: list[int]) -> SlotMap:
-    """The next version: slots move until the shards' weights are as near equal as whole slots allow.
+    """The next version (or this one, if no slot moves): slots move until shards' weights are as near equal as whole slots allow.
 
     Shards above the mean give up slots, smallest loss first; those slots go, heaviest first, to the lightest shard.
     Then single moves and swaps between the heaviest and the lightest shard go on while they lower the spread,
@@ -98,7 +105,7 @@ def rebalance(now: SlotMap, weight: list[int]) -> SlotMap:
     for shard, slots in enumerate(own):
         for slot in slots:
             shard_of[slot] = shard
-    return replace(now, version=now.version + 1, shard_of=tuple(shard_of))
+    return now if tuple(shard_of) == now.shard_of else replace(now, version=now.version + 1, shard_of=tuple(shard_of))
 
 
 def grow(now: SlotMap, weight: list[int]) -> SlotMap:
@@ -140,9 +147,10 @@ def assign(docs: DataFrame, shards: int = 16, slots: int = SLOTS, text: str = "t
     """Every row with its shard: doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
 
     The law is ``bytes``: shards' sizes are near equal. ``slot`` counts the rows of a shard from 0 without a gap: slots of
-    the map follow each other, and rows of a slot by id (nulls first; equal rows in any order). With ``map_path`` the
-    map's versions are stored there (version 1 deals slots in turn, the next is rebalanced), and an existing map is
-    taken up and edited. Null texts have size 1; an empty table gives an empty result; other columns are ignored.
+    the map follow each other, and rows of a slot by id (nulls first; equal rows in any order). The map's versions are stored
+    at ``map_path`` (where none is named, in a new place of the shared folder). A map that is there already is taken up: its latest
+    version gets new shards if it has too few, is rebalanced, and is stored as a further version if a slot moved; else version 1
+    deals slots in turn. Null texts have size 1; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = written(measured(docs, text, ident, slots), "measured")
@@ -150,12 +158,20 @@ def assign(docs: DataFrame, shards: int = 16, slots: int = SLOTS, text: str = "t
     weight, count = [0] * slots, [0] * slots
     for r in stats:
         weight[r.vslot], count[r.vslot] = r.bytes, r.n
-    start = first_map(shards, slots)
-    now = rebalance(start, weight)
-    if map_path:
-        start.store(spark, map_path)
+    map_path = map_path or f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
+    now = stored_map(spark, map_path)
+    if now is None:
+        now = first_map(shards, slots)
+        now.store(spark, map_path)
+    if now.shards > shards or len(now.shard_of) != slots:
+        raise ValueError(f"the map at {map_path} has {now.shards} shards and {len(now.shard_of)} slots")
+    before = now.version
+    while now.shards < shards:
+        now = grow(now, weight)
+    now = rebalance(now, weight)
+    if now.version != before:
         now.store(spark, map_path)
-        now = SlotMap.load(spark, map_path)
+    now = SlotMap.load(spark, map_path)
     before, at = [0] * slots, [0] * shards
     for slot, shard in enumerate(now.shard_of):
         before[slot] = at[shard]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, labelled, remainder, words
+from .common import PIECE, bounded_sample, labelled, remainder, words
 
 BITS = 20  #: tokens are counted in 2^BITS cells, so that the model has one size for any vocabulary
 SAMPLE = 60_000  #: labelled texts that the model is fitted on at most (those of the smallest id hash)
@@ -96,21 +96,28 @@ def _cells(h: np.ndarray) -> np.ndarray:
     return (h >> _SHIFT).astype(np.int64)
 
 
-def scan(column: pa.Array, model: Lexicon) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
-    """Per text: evidence beyond chance, tokens, and significant segments as (first, last + 1, excess)."""
+def scan(column: pa.Array, model: Lexicon, limit: int = PIECE) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
+    """Per text: evidence beyond chance, tokens, and significant segments as (first, last + 1, excess).
+
+    Scores of a text that comes in several pieces are put together first, so that no segment ends at a cut.
+    """
     n = len(column)
     count, evidence = np.zeros(n, np.int64), np.zeros(n)
     raw: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
-    for w in words(column):
-        score = model.score[_cells(w.hashes)]
-        edges = np.flatnonzero(np.diff(w.doc, prepend=-1, append=n + 1))
+    held: list[np.ndarray] = []
+    for w in words(column, limit=limit):
+        held.append(model.score[_cells(w.hashes)])
+        if not w.last:
+            continue
+        score, of = np.concatenate(held), np.concatenate((np.full(sum(map(len, held[:-1])), w.docs[0]), w.doc))
+        held = []
+        edges = np.flatnonzero(np.diff(of, prepend=-1, append=n + 1))
         hot = np.concatenate(([0], np.cumsum(score > 0)))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            d = int(w.doc[a])
+            d = int(of[a])
             if hot[b] > hot[a]:
-                base = int(count[d])
-                raw[d] += [(base + p, base + q, s) for p, q, s in segments(score[a:b])]
-            count[d] += b - a
+                raw[d] = segments(score[a:b])
+            count[d] = b - a
     for d in range(n):
         bar = np.log(max(model.k * count[d], 1.0))  # what chance reaches in so many tokens
         raw[d] = [(p, q, model.lam * s - bar) for p, q, s in raw[d] if model.lam * s > bar]
