@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from treeline.llm import gaussian, toxicity
+from treeline.llm import gaussian, lines, toxicity
 
 
 def texts(seed):
@@ -57,3 +57,15 @@ def test_passages_do_not_depend_on_pieces(limit):
     whole, cut = toxicity.scan(column, model), toxicity.scan(column, model, limit)
     assert np.allclose(whole[0], cut[0]) and (whole[1] == cut[1]).all() and any(whole[2])
     assert [[(a, b) for a, b, _ in x] for x in whole[2]] == [[(a, b) for a, b, _ in x] for x in cut[2]]
+
+
+@pytest.mark.parametrize("limit", [7, 40, 300, 1 << 19])
+def test_words_of_lines_do_not_depend_on_pieces(limit):
+    column = pa.array(texts(limit), pa.string())
+    names, got = {}, []
+    for h, doc, line in lines.line_words(column, limit):
+        got += zip(doc.tolist(), line.tolist(), h.tolist())
+    want = [(d, k, w) for d, t in enumerate(texts(limit)) for k, x in enumerate((t or "").encode().lower().split(b"\n")) for w in x.split()]
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    for (_, _, h), (_, _, w) in zip(got, want):
+        assert names.setdefault(h, w) == w

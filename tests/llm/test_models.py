@@ -137,9 +137,7 @@ def brute_lines(docs):
 
 
 @pytest.mark.parametrize("hot", [48, 1])
-def test_line_join_against_brute_force(spark, hot, monkeypatch):
-    real = lines.matches
-    monkeypatch.setattr(lines, "matches", lambda *a: real(*a, hot=hot))
+def test_line_join_against_brute_force(spark, hot):
     r = random.Random(hot)
     base = [[f"w{r.randrange(60)}" for _ in range(r.randrange(1, 22))] for _ in range(25)]
     docs = []
@@ -154,7 +152,7 @@ def test_line_join_against_brute_force(spark, hot, monkeypatch):
     docs += [(100, None), (101, ""), (None, docs[3][1]), (102, "a\tB  c\n\nA b C")]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, line int")
     want = brute_lines(docs)
-    rows = lines.line_duplicates(df).collect()
+    rows = lines.line_duplicates(df, hot=hot).collect()
     assert {(x.doc_id if x.doc_id is not None else 1 << 62): [i in x.removed for i in range(x.n_lines)] for x in rows} == want
     kept = {x.doc_id: x.text for x in lines.without_duplicates(df.where("doc_id IS NOT NULL")).collect()}
     assert kept[102] in ("a\tB  c\n", "")
