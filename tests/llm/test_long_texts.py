@@ -69,3 +69,19 @@ def test_words_of_lines_do_not_depend_on_pieces(limit):
     assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
     for (_, _, h), (_, _, w) in zip(got, want):
         assert names.setdefault(h, w) == w
+
+
+def test_masks_never_rule_out_a_similar_pair():
+    r = np.random.default_rng(4)
+    ruled = 0
+    for _ in range(400):
+        n = int(r.integers(60, 900))
+        a = r.choice(1 << 40, n, replace=False).astype(np.uint64)
+        kept = a[: int(n * r.uniform(0.1, 1.0))]
+        b = np.concatenate((kept, r.choice(1 << 40, int(r.integers(0, n // 3 + 1)), replace=False).astype(np.uint64) + np.uint64(1 << 41)))
+        x, y = (lines.sketches(np.sort(v), np.array([len(v)]))[0] for v in (a, b))
+        if x is not None and y is not None:
+            far = lines.far_apart(x, len(a), y, len(b))
+            ruled += far
+            assert not (far and len(kept) >= 0.8 * (len(a) + len(b) - len(kept)))
+    assert ruled > 100
