@@ -455,15 +455,27 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, a
     source = source.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", "held", "text")
     hot = hot_words(source.select("text"))
 
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack_ = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack_(t.as_buffer().to_pybytes()) for t in batch.column(3)], pa.binary())], names=["chunk", "doc_id", "held", "text"])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    dealt = source.mapInArrow(shrink, f"chunk int, doc_id {kind}, held boolean, text binary").groupBy("chunk")  # texts are moved twice
+
+    def texts_of(group: pa.Table) -> pa.Array:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return pa.array([unpack(t.as_py()).decode() for t in group["text"]], pa.large_string())
+
     def pack(group: pa.Table) -> pa.Table:
-        chunk = Chunk(group["text"], buckets, hot)
+        chunk = Chunk(texts_of(group), buckets, hot)
         number = group["chunk"][0].as_py()
         return _table((r | {"chunk": number} for r in chunk.requests(group["held"].to_numpy())), REQUEST[1])
 
     def merged(group: pa.Table) -> pa.Table:
         return _table(merge(_rows(group), buckets, hot), RESTAURANT[1])
 
-    requests = source.groupBy("chunk").applyInArrow(pack, REQUEST[0])
+    requests = dealt.applyInArrow(pack, REQUEST[0])
     first = written(requests.groupBy("bucket").applyInArrow(merged, RESTAURANT[0]), "restaurants")
 
     def sums(table: DataFrame) -> dict[int, tuple[float, float]]:
@@ -518,11 +530,10 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2, sweeps: int = SWEEPS, a
     drop(first, *(states[k] for k in used if k))
 
     def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
-        chunk = Chunk(texts["text"], buckets, hot)
+        chunk = Chunk(texts_of(texts), buckets, hot)
         total, base, known = log_scores(chunk, _rows(found), c, final_roots)
         return pa.table({"doc_id": texts["doc_id"], "held": texts["held"], "n_tokens": pa.array(chunk.size, pa.int64()), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(total)})
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    out = source.groupBy("chunk").cogroup(returned.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
+    out = dealt.cogroup(returned.groupBy("chunk")).applyInArrow(scored, f"doc_id {kind}, held boolean, n_tokens long, n_known long, base_score double, score double")
     per_token = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select(F.col("doc_id").alias(ident), F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(c.tokens).cast("long").alias("train_tokens"), "base_score", "score", per_token.alias("perplexity"))
