@@ -6,10 +6,11 @@ import argparse
 import json
 import os
 import sys
+import time
 
 from pyspark.sql import SparkSession
 
-from .plans import api
+from .plans import api, selfcheck
 from .plans.fixture_dir import demo
 from .plans.repository import Repository, RepositoryError
 
@@ -20,9 +21,14 @@ def session() -> SparkSession:
     return found
 
 
+def local_time(timestamp: float) -> str:
+    return time.strftime("%Y-%m-%d %H:%M", time.localtime(timestamp))
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="treeline")
     top.add_argument("--repo", help="repository folder; else the nearest .vault upwards")
+    top.add_argument("--lock-timeout", type=float, default=30.0, help="seconds to wait for another writer")
     sub = top.add_subparsers(dest="command", required=True)
 
     def command(name: str, *args: str, flags: tuple[str, ...] = ()) -> argparse.ArgumentParser:
@@ -36,6 +42,10 @@ def parser() -> argparse.ArgumentParser:
 
     command("init")
     command("snapshot", "folder").add_argument("-m", "--message", default="")
+    timed = command("benchmark")
+    for name, usual in (("objects", 3000), ("reads", 1000), ("versions", 5)):
+        timed.add_argument(f"--{name}", type=int, default=usual)
+    command("stress-test").add_argument("--processes", type=int, default=4)
     for name, args, flags in (
         ("snapshot-rm", ["id"], ()), ("list", [], ()), ("diff", ["a", "b"], ()), ("restore", ["ref", "folder"], ("preview", "yes")), ("verify", [], ()), ("recover-check", ["ref"], ()), ("gc", [], ()),
         ("trace", ["hash"], ()), ("info", ["ref"], ()), ("pack", ["name?"], ()), ("log", ["path"], ()), ("status", [], ("deep",)), ("explain", ["ref"], ()), ("show", ["ref"], ()), ("tag", ["name", "ref"], ()), ("demo", ["folder"], ()), ("serve", [], ()),
@@ -48,19 +58,24 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[int, object]:
     c = args.command
     if c == "demo":
         return 0, {"files": demo(args.folder)}
+    if c == "benchmark":
+        return 0, selfcheck.benchmark(spark, args.objects, args.reads, args.versions)
+    if c == "stress-test":
+        found = selfcheck.stress_test(spark, args.processes)
+        return int(not found["passed"]), found
     path = args.repo or (os.path.join(os.getcwd(), ".vault") if c == "init" else Repository.find(os.getcwd()))
     if c == "init":
         return 0, {"repository": Repository.init(spark, path).path}
     if path is None:
         raise RepositoryError("no repository here or above")
-    repo = Repository(spark, path)
+    repo = Repository(spark, path, args.lock_timeout)
     rows = lambda df: [r.asDict(True) for r in df.collect()]
     if c == "snapshot":
         return 0, repo.snapshot(args.folder, args.message)
     if c == "snapshot-rm":
         return 0, repo.remove(int(args.id))
     if c == "list":
-        return 0, repo.list()
+        return 0, [{**r, "time": local_time(r["timestamp"])} for r in repo.list()]
     if c == "diff":
         return 0, api.diff_json(repo, args.a, args.b)
     if c == "restore":
@@ -85,7 +100,8 @@ def run(args: argparse.Namespace, spark: SparkSession) -> tuple[int, object]:
     if c == "pack":
         return 0, repo.pack(args.name)
     if c == "log":
-        return 0, repo.log(args.path)
+        found = repo.log(args.path)
+        return 0, {**found, "entries": [{**e, "time": local_time(e["timestamp"])} for e in found["entries"]]}
     if c == "status":
         return 0, repo.status(args.deep)
     if c == "explain":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,19 +35,23 @@ def name_chain(spark: SparkSession, links: DataFrame, path: str) -> DataFrame:
     most = links.count() + 1  # no chain is longer
     later = links.groupBy("old_path").agg(F.max_by("new_path", "snapshot_id").alias("next"))
     earlier = links.groupBy("new_path").agg(F.max_by("old_path", "snapshot_id").alias("prior"))
-    later.createOrReplaceTempView("_chain_later")
-    earlier.createOrReplaceTempView("_chain_earlier")
-    return spark.sql(
+    own = uuid.uuid4().hex  # two callers in a session keep apart
+    later.createOrReplaceTempView(f"later_{own}")
+    earlier.createOrReplaceTempView(f"earlier_{own}")
+    found = spark.sql(
         f"""
         WITH RECURSIVE back(name, place, seen) MAX RECURSION LEVEL {most} AS (
           SELECT cast(:path AS string), 0, array(cast(:path AS string))
-          UNION ALL SELECT e.prior, b.place - 1, array_append(b.seen, e.prior) FROM back b JOIN _chain_earlier e ON e.new_path = b.name WHERE NOT array_contains(b.seen, e.prior)),
+          UNION ALL SELECT e.prior, b.place - 1, array_append(b.seen, e.prior) FROM back b JOIN earlier_{own} e ON e.new_path = b.name WHERE NOT array_contains(b.seen, e.prior)),
         forth(name, place, seen) MAX RECURSION LEVEL {most} AS (
           SELECT cast(:path AS string), 0, array(cast(:path AS string))
-          UNION ALL SELECT l.next, f.place + 1, array_append(f.seen, l.next) FROM forth f JOIN _chain_later l ON l.old_path = f.name WHERE NOT array_contains(f.seen, l.next))
+          UNION ALL SELECT l.next, f.place + 1, array_append(f.seen, l.next) FROM forth f JOIN later_{own} l ON l.old_path = f.name WHERE NOT array_contains(f.seen, l.next))
         SELECT name, min(place) AS place FROM (SELECT name, place FROM back UNION ALL SELECT name, place FROM forth) GROUP BY name""",
         args={"path": path},
     )
+    spark.catalog.dropTempView(f"later_{own}")  # the plan is resolved already
+    spark.catalog.dropTempView(f"earlier_{own}")
+    return found
 
 
 def lineage(history: DataFrame, chain: DataFrame) -> DataFrame:

@@ -40,8 +40,10 @@ def index_bytes(index: DataFrame) -> DataFrame:
     """(pack_name, idx): the binary index: fan-out of 256 u32, then hash, offset u64 and length u32 by hash."""
     entry = F.concat(F.col("obj_hash"), big_endian(F.col("offset"), 8), big_endian(F.col("length"), 4))
     rows = index.groupBy("pack_name").agg(F.array_sort(F.collect_list(F.struct("obj_hash", entry.alias("hex")))).alias("e"))
-    fan = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda b: big_endian(F.size(F.filter("e", lambda x: F.conv(F.substring(x["obj_hash"], 1, 2), 16, 10).cast("int") <= b)), 4))
-    return rows.select("pack_name", F.unhex(F.concat(F.array_join(fan, ""), F.array_join(F.transform("e", lambda x: x["hex"]), ""))).alias("idx"))
+    counts = index.groupBy("pack_name", shard().alias("b")).agg(F.count("*").cast("int").alias("n")).groupBy("pack_name").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("per"))
+    running = F.aggregate(F.sequence(F.lit(0), F.lit(255)), F.array().cast("array<int>"), lambda acc, b: F.array_append(acc, F.coalesce(F.get(acc, b - 1), F.lit(0)) + F.coalesce(F.try_element_at("per", b), F.lit(0))))
+    fan = F.transform(running, lambda n: big_endian(n, 4))
+    return rows.join(counts, "pack_name").select("pack_name", F.unhex(F.concat(F.array_join(fan, ""), F.array_join(F.transform("e", lambda x: x["hex"]), ""))).alias("idx"))
 
 
 def bounds_problems(index: DataFrame, packs: DataFrame) -> DataFrame:

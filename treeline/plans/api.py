@@ -6,13 +6,15 @@ import json
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from ..operators.storage import written
 from .repository import Repository, RepositoryError
 
 
 def diff_json(repo: Repository, a: str, b: str) -> dict:
-    rows = repo.diff(a, b).where("change <> 'unchanged'").orderBy("path").collect()
+    changes = written(repo.diff(a, b), "diff")
+    rows = changes.where("change <> 'unchanged'").orderBy("path").collect()
     pick = lambda kind: [r.path for r in rows if r.change == kind]
-    total = repo.diff(a, b).where("change = 'unchanged'").count()
+    total = changes.where("change = 'unchanged'").count()
     return {"added": pick("added"), "from": repo.resolve(a), "modified": pick("modified"), "removed": pick("removed"), "to": repo.resolve(b), "unchanged_count": total}
 
 

@@ -58,8 +58,8 @@ def parse_record(text: str) -> dict:
 
 
 class Repository:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, os.path.abspath(path)
+    def __init__(self, spark: SparkSession, path: str, lock_timeout: float = 30.0):
+        self.spark, self.path, self.lock_timeout = spark, os.path.abspath(path), lock_timeout
         if not os.path.exists(self._at("CURRENT")):
             raise RepositoryError(f"no repository at {self.path}")
         spark.dataSource.register(DirectorySource)
@@ -90,13 +90,16 @@ class Repository:
     def _at(self, *parts: str) -> str:
         return os.path.join(self.path, *parts)
 
-    def lock(self, timeout: float = 30.0) -> RepositoryLock:
-        return RepositoryLock(self._at("lock"), timeout)
+    def lock(self, timeout: float | None = None) -> RepositoryLock:
+        return RepositoryLock(self._at("lock"), self.lock_timeout if timeout is None else timeout)
 
     def _current(self) -> dict:
         with open(self._at("CURRENT")) as f:
             return json.load(f)
 
+    def _publish(self, live: dict) -> None:
+        _replace(self._at("CURRENT"), json.dumps(live))
+
     def _table(self, kind: str, schema: str) -> DataFrame:
         dirs = [self._at(kind, d) for d in self._current()[kind]]
         return self.spark.read.schema(schema).parquet(*dirs) if dirs else self.spark.createDataFrame([], schema)
@@ -127,6 +130,11 @@ class Repository:
         bad = self.quarantine()
         return self.every_packed().where(~F.col("pack_name").isin(*bad)) if bad else self.every_packed()
 
+    def delta_manifest(self) -> DataFrame:
+        """(target, base) of every delta of the sound packs; the last pack by name wins."""
+        deltas = self.packed().where("kind = 'D'")
+        return deltas.groupBy(F.col("obj_hash").alias("target")).agg(F.max_by("base_hash", "pack_name").alias("base"))
+
     def quarantined(self) -> DataFrame:
         """(pack_name, obj_hash) of what damaged packs hold."""
         bad = self.quarantine()
@@ -251,7 +259,7 @@ class Repository:
             live = self._current()
             live["objects"].append(self._append("objects", stored))
             live["trees"].append(self._append("trees", entries))
-            _replace(self._at("CURRENT"), json.dumps(live))
+            self._publish(live)
             n = files.join(self.stored(), "obj_hash").agg(F.count("*").alias("files"), F.coalesce(F.sum("original_size"), F.lit(0)).alias("a"), F.coalesce(F.sum("stored_size"), F.lit(0)).alias("b")).first()
             k = self._next_id()
             record = {"id": k, "timestamp": when if when is not None else time.time(), "parent": max(self.ids(), default=None), "root_tree_hash": root, "message": message, "stats": {"files": n["files"], "new_objects": new_files, "reused_objects": n["files"] - new_files, "original_bytes": int(n["a"]), "compressed_bytes": int(n["b"])}}
@@ -338,7 +346,7 @@ class Repository:
         refs = walked.select("path", "object").unionByName(self.spark.createDataFrame([(".", record["root_tree_hash"])], "path string, object string"))
         objs = self.contents(refs.select(F.col("object").alias("obj_hash"))).select("obj_hash", F.col("problem").isNull().alias("ok"))
         packed = self.packed()
-        manifest = packed.where("kind = 'D'").select(F.col("obj_hash").alias("target"), F.col("base_hash").alias("base"))
+        manifest = self.delta_manifest()
         everything = objs.unionByName(self.stored().select("obj_hash", F.lit(True).alias("ok"))).groupBy("obj_hash").agg(F.bool_and("ok").alias("ok"))
         lost = trees.lost_trees(self.tree_entries(), walked, self._roots([k])).select(F.col("path").alias("where"), "object", F.lit("unreadable tree").alias("detail"))
         found = audit.recover_issues(refs, everything, manifest, self.quarantined())
@@ -375,7 +383,7 @@ class Repository:
             new = {"objects": [self._append("objects", self.objects().join(keep, "obj_hash", "left_semi"))], "trees": [self._append("trees", self.tree_entries().distinct().join(need.withColumnRenamed("object", "tree_hash"), "tree_hash", "left_semi"))], "packs": []}
             if old["packs"]:
                 new["packs"] = [self._append("packs", self.packed().join(keep, "obj_hash", "left_semi"))]
-            _replace(self._at("CURRENT"), json.dumps(new))
+            self._publish(new)
             for kind, names in old.items():
                 for name in names:
                     shutil.rmtree(self._at(kind, name), ignore_errors=True)
@@ -406,10 +414,10 @@ class Repository:
             places = packs.pack_offsets(chosen.select(F.lit(name).alias("pack_name"), "obj_hash", F.octet_length("entry").cast("long").alias("length")))
             rows = places.join(chosen.select("obj_hash", "kind", "base_hash", "entry"), "obj_hash").join(sizes, "obj_hash")
             part = self._append("packs", rows.select("pack_name", "obj_hash", "kind", "base_hash", "entry", "offset", "length", "size"))
-            _replace(self._at("CURRENT"), json.dumps({**old, "objects": [], "packs": [*old["packs"], part]}))
+            self._publish({**old, "objects": [], "packs": [*old["packs"], part]})
             bad = self.contents(loose).where("problem IS NOT NULL OR content IS NULL").count()
             if bad or self.contents(loose).count() != loose.count():
-                _replace(self._at("CURRENT"), json.dumps(old))
+                self._publish(old)
                 raise IntegrityError("the pack does not read back; loose objects stay")
             for d in old["objects"]:
                 shutil.rmtree(self._at("objects", d), ignore_errors=True)
