@@ -133,3 +133,22 @@ def test_two_chains_in_one_session(spark):
     links = [spark.createDataFrame([(a, b, 2)], "old_path string, new_path string, snapshot_id long") for a, b in (("a", "b"), ("x", "y"))]
     first, second = history.name_chain(spark, links[0], "a"), history.name_chain(spark, links[1], "x")
     assert {r.name for r in first.collect()} == {"a", "b"} and {r.name for r in second.collect()} == {"x", "y"}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_delta_candidates_equal_the_fold(spark, seed):
+    """Few contents over many paths, so that most edges decide others; and a history without any edge."""
+    import random
+
+    draw = random.Random(seed)
+    rows = [(s, f"p{k:02d}", "abcdefgh"[draw.randrange(8)]) for s in range(1, 6) for k in range(12) if draw.random() < 0.9]
+    by = {(s, p): h for s, p, h in rows}
+    want = {}
+    for s in range(2, 6):
+        for p in sorted({p for _, p, _ in rows}):
+            new, old = by.get((s, p)), by.get((s - 1, p))
+            if new and old and new != old and old not in want:
+                want[new] = old
+    table = lambda r: spark.createDataFrame(r, "snapshot_id long, path string, blob_hash string")
+    assert {r.target_hash: r.base_hash for r in history.delta_candidates(table(rows)).collect()} == want
+    assert history.delta_candidates(table([])).count() == 0

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import written
+
 
 def path_history(files: DataFrame) -> DataFrame:
     """(path, snapshot_id, blob_hash) where a path's content differs from the last recorded one; absence is no event."""
@@ -68,16 +70,28 @@ def modified_edges(files: DataFrame) -> DataFrame:
 
 
 def delta_candidates(files: DataFrame) -> DataFrame:
-    """(target_hash, base_hash) by the ordered rule: an edge is taken if its old content is no target at that moment.
+    """(target_hash, base_hash) by the ordered rule: in (snapshot, path) order an edge is taken if its old content is no target
+    at that moment, and the last edge taken of a target gives its base.
 
-    A decision depends on earlier edges of the same contents only, so edges are folded per connected group of contents, in
-    (snapshot, path) order; groups are found on hashes, and unrelated files never meet in one task.
+    A content stays a target once it is one, so all that a decision needs is when its old content turned into one: the
+    first edge taken of it. These times are a fixed point, reached from "every edge is taken" in as many rounds as the
+    longest chain of edges that decide each other; the order leaves no second one. Every step is a minimum or a join on
+    one row per content, so no group of contents meets in one task. An empty history gives no rows.
     """
-    from .graph import components
-
-    edges = modified_edges(files)
-    group = components(edges.select(F.col("nw").alias("a"), F.col("od").alias("b")))
-    fold = F.expr("""aggregate(array_sort(collect_list(struct(sid, path, nw, od))), cast(array() AS array<struct<nw:string,od:string>>),
-      (acc, e) -> if(exists(acc, x -> x.nw = e.od), acc, array_append(filter(acc, x -> x.nw <> e.nw), struct(e.nw AS nw, e.od AS od))))""")
-    taken = edges.join(group, edges["nw"] == group["node"]).groupBy("root").agg(fold.alias("taken"))
-    return taken.select(F.explode("taken").alias("t")).select(F.col("t.nw").alias("target_hash"), F.col("t.od").alias("base_hash"))
+    edges = written(modified_edges(files).select("nw", "od", F.struct("sid", "path").alias("at")), "edges")
+    pairs = written(edges.groupBy("nw", "od").agg(F.min("at").alias("at")), "pairs")  # if any edge of a pair is taken, the first is
+    turned = written(pairs.groupBy("nw").agg(F.min("at").alias("at")), "turned")
+    while True:
+        after = written(_taken(pairs, turned).groupBy("nw").agg(F.min("at").alias("at")), "turned")
+        before = turned.withColumnRenamed("at", "was")
+        moved = after.join(before, "nw", "full_outer").where(~F.col("at").eqNullSafe(F.col("was")))
+        turned = after
+        if moved.isEmpty():
+            break
+    return _taken(edges, turned).groupBy(F.col("nw").alias("target_hash")).agg(F.max_by("od", "at").alias("base_hash"))
+
+
+def _taken(edges: DataFrame, turned: DataFrame) -> DataFrame:
+    """The edges that come before their old content turns into a target."""
+    since = turned.select(F.col("nw").alias("od"), F.col("at").alias("since"))
+    return edges.join(since, "od", "left").where("since IS NULL OR at < since").select("nw", "od", "at")
