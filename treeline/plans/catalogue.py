@@ -509,13 +509,11 @@ def parse_trees(spark, sf):
     hexed = F.concat(F.when(F.col("kind") == "blob", F.lit("62")).otherwise(F.lit("74")), binary.big_endian(F.octet_length("name"), 2), F.hex("name"), F.hex("child_hash"))
     stored = entries.groupBy("tree_hash").agg(F.array_sort(F.collect_list(F.struct("name", hexed.alias("h")))).alias("e")).select("tree_hash", F.unhex(F.array_join(F.transform("e", lambda x: x["h"]), "")).alias("content"))
     spark.udtf.register("tree_entries_of", codec.TreeEntries)
-    stored.createOrReplaceTempView("_stored_trees")
-    return spark.sql("SELECT t.tree_hash, e.name, e.kind, e.child_hash FROM _stored_trees t, LATERAL tree_entries_of(t.content) e")
+    return spark.sql("SELECT t.tree_hash, e.name, e.kind, e.child_hash FROM {stored} t, LATERAL tree_entries_of(t.content) e", stored=stored)
 
 
 @query('{VF}' + _INDEX + ' SELECT pack_name, obj_hash, "offset", length FROM idx')
 def parse_pack_indexes(spark, sf):
     """Pack indexes to their binary form and back through the table function."""
     spark.udtf.register("pack_index_of", codec.PackIndexEntries)
-    packs.index_bytes(_index(spark, sf)).createOrReplaceTempView("_stored_indexes")
-    return spark.sql("SELECT p.pack_name, e.obj_hash, e.offset, e.length FROM _stored_indexes p, LATERAL pack_index_of(p.idx) e")
+    return spark.sql("SELECT p.pack_name, e.obj_hash, e.offset, e.length FROM {stored} p, LATERAL pack_index_of(p.idx) e", stored=packs.index_bytes(_index(spark, sf)))
