@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from treeline.llm import decontaminate, gaussian, mixing, sharding, wide
+from treeline.llm import decontaminate, gaussian, mixing, sharding, simhash, wide
 from treeline.llm.common import table, written
 
 
@@ -18,8 +18,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones (five-word shingles, similarity 0.8): the one with the smallest id."""
-    return wide.keep_one(docs)
+    """One document of each group of near copies: the one with the smallest id.
+
+    Groups are those of op10's operator (64-bit fingerprints, block keys, a Hamming check); then pairs of different groups whose
+    five-word shingle sets are similar to 0.8 or more, but whose fingerprints lie further apart, are linked too.
+    """
+    groups = written(simhash.near_duplicates(docs.where("doc_id IS NOT NULL")).select("doc_id", "component_id"), "simhash-groups")
+    return wide.keep_one(docs, groups=groups)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

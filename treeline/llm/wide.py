@@ -9,7 +9,8 @@ Candidates whose sizes allow the similarity pass a check of the Hamming distance
 deliberately loose (``LOOSE`` bits: a pair at 0.8 has 192 at most in expectation, and more than 320 with a probability below
 1e-19, which is no more than that of equal shingle hashes), and what is left is decided by the sets themselves.
 
-Equal sets are one row. A key that more than ``pairs_to`` rows share first links its rows with its smallest id; rows that are then
+Groups that are known already (the pipeline's come from the 64-bit fingerprints of `simhash`) are taken in: keys of one group and
+pairs within one are not looked at. Equal sets are one row. A key that more than ``pairs_to`` rows share first links its rows with its smallest id; rows that are then
 in one component need no more comparing. Keys whose rows are in several components are compared in tiles: rows are dealt into
 tiles of a bounded size, each pair of tiles is one group, and only pairs from different components are looked at. Rows that have
 a partner by the Hamming check get their sets and are decided in memory; a group emits fewer links than it has rows. So a large
@@ -179,9 +180,12 @@ def _ranks(rows: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, n: int = 5, pairs_to: int = 4, tile: int = 1024, text: str = "text", ident: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, n: int = 5, pairs_to: int = 4, tile: int = 1024, text: str = "text", ident: str = "doc_id", groups: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id): for every row with an id the smallest id that a chain of links reaches.
 
+    ``groups`` (doc_id, component_id) are links that hold already, such as those of `simhash.near_duplicates`: every id with its
+    group's smallest one. Chains go through them too, and only pairs of different groups are looked at.
+
     Null and empty texts have the fingerprint zero and are one group. Rows with a null id are left out. Ids that come with
     several texts join their groups. An empty table gives an empty result; other columns are ignored.
     """
@@ -205,8 +209,17 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, n: int = 5, pairs_t
     rows = written(source.mapInArrow(run, "doc_id long, print binary, total long, m long"), "wide")
     rank = docs.sparkSession.sparkContext.broadcast(_ranks(rows))  # a fixed size
     rows = rows.where("doc_id IS NOT NULL")
-    distinct = written(rows.groupBy("print", "total", "m").agg(F.min("doc_id").alias("id")), "wide-distinct")
+    distinct = rows.groupBy("print", "total", "m").agg(F.min("doc_id").alias("id"))
+    if groups is None:
+        distinct = distinct.withColumn("had", F.col("id"))
+    else:
+        groups = groups.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("a"), F.col("component_id").cast("long").alias("b"))
+        had = groups.groupBy("a").agg(F.min("b").alias("had")).withColumnRenamed("a", "id")  # of an id with several texts any group will do
+        distinct = distinct.join(had.hint("shuffle_hash"), "id", "left").withColumn("had", F.coalesce("had", "id"))
+    distinct = written(distinct, "wide-distinct")
     same = rows.join(distinct, ["print", "total", "m"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+    if groups is not None:
+        same = same.unionByName(groups.where("a <> b"))
     prints = distinct.select("id", "m", "print")
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,18 +264,19 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, n: int = 5, pairs_t
         return out
 
     found = source.mapInArrow(keys, "id long, m long, keys array<long>").where("m > 0")
-    found = found.join(distinct.select("id").hint("shuffle_hash"), "id", "left_semi")
-    keyed = written(found.select("id", "m", F.explode("keys").alias("key")).distinct(), "wide-prefixes")
+    found = found.join(distinct.groupBy("id").agg(F.min("had").alias("had")).hint("shuffle_hash"), "id")
+    keyed = written(found.select("id", "m", "had", F.explode("keys").alias("key")).distinct(), "wide-prefixes")
     # one leader a key, from four orders of the ids, so that a key's rows do not all depend on one of them
-    leader = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("h"), "id"))["id"]
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), leader.alias("leader")).where("size > 1")
+    leader = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("h"), "id", "had"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), leader.alias("s"), F.min("had").alias("low"), F.max("had").alias("high"))
+    sizes = sizes.where("low < high").select("key", "size", F.col("s.id").alias("leader"), F.col("s.had").alias("led"))  # keys of one group have nothing left to link
     whole, keyed = keyed, written(keyed.join(sizes, "key"), "wide-keys")
     drop(whole)
-    cold = keyed.where(F.col("size") <= pairs_to).select("id", "m", "key")
-    pairs = cold.select("key", F.col("id").alias("a"), F.col("m").alias("x")).join(cold.select("key", F.col("id").alias("b"), F.col("m").alias("y")), "key")
-    pairs = pairs.where("a < b").where(F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9).select("a", "b")
+    cold = keyed.where(F.col("size") <= pairs_to).select("id", "m", "had", "key")
+    pairs = cold.select("key", F.col("id").alias("a"), F.col("m").alias("x"), F.col("had").alias("u")).join(cold.select("key", F.col("id").alias("b"), F.col("m").alias("y"), F.col("had").alias("v")), "key")
+    pairs = pairs.where("a < b AND u <> v").where(F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9).select("a", "b")
     crowded = keyed.where(F.col("size") > pairs_to)
-    stars = crowded.where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    stars = crowded.where("had <> led").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     links = checked(pairs.unionByName(stars))
     parts = written(connected_components(same.unionByName(links)), "wide-parts")
 
@@ -314,12 +328,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, n: int = 5, pairs_t
     return out.select(F.col("doc_id").alias(ident), F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, similarity: float = 0.8, n: int = 5, text: str = "text", ident: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, similarity: float = 0.8, n: int = 5, text: str = "text", ident: str = "doc_id", groups: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the row with its smallest id; rows with a null id stay.
 
-    Repeated rows with that id are one group too: one of them stays.
+    Repeated rows with that id are one group too: one of them stays. ``groups``: as in `similar_groups`.
     """
-    groups = written(similar_groups(docs, similarity, n, text=text, ident=ident), "groups")
+    groups = written(similar_groups(docs, similarity, n, text=text, ident=ident, groups=groups), "groups")
     stay = groups.where(F.col(ident) == F.col("component_id")).select(F.col(ident).alias("_stay"))
     kept = docs.where(F.col(ident).isNotNull()).join(stay.hint("shuffle_hash"), docs[ident] == F.col("_stay"), "left_semi")  # the same plan at every size
     if not docs.groupBy(ident).agg(F.count("*").alias("_n")).where(F.col(ident).isNotNull() & (F.col("_n") > 1)).isEmpty():
