@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE, bounded_sample, combine, labelled, remainder, text_buffers, words, written
+from .common import PIECE, bounded_sample, combine, drop, labelled, remainder, text_buffers, words, written
 
 _KIND = np.zeros(256, np.uint8)  # 1 upper, 2 digit, 3 sentence marks, 4 other marks, 5 white space, 6 not ASCII, 7 newline
 _KIND[0x41:0x5B] = 1
@@ -236,8 +236,9 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample:
     """
     ids = bounded_sample(labelled(labels, "quality"), sample)
     train = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")  # at most `sample` rows of 12 bytes
-    x = features(train, ident="label")
+    x = written(features(train, ident="label"), "statistics")  # else a task has two Python workers, and they stay
     model = fit(moments(x.withColumnRenamed("doc_id", "label"), len(FEATURES)), (0, 1), len(FEATURES))
+    drop(x)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

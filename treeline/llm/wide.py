@@ -265,19 +265,21 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, n: int = 5, pairs_t
 
     found = source.mapInArrow(keys, "id long, m long, keys array<long>").where("m > 0")
     found = found.join(distinct.groupBy("id").agg(F.min("had").alias("had")).hint("shuffle_hash"), "id")
-    keyed = written(found.select("id", "m", "had", F.explode("keys").alias("key")).distinct(), "wide-prefixes")
-    # one leader a key, from four orders of the ids, so that a key's rows do not all depend on one of them
-    leader = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("h"), "id", "had"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), leader.alias("s"), F.min("had").alias("low"), F.max("had").alias("high"))
-    sizes = sizes.where("low < high").select("key", "size", F.col("s.id").alias("leader"), F.col("s.had").alias("led"))  # keys of one group have nothing left to link
+    keyed = written(found.select("id", "m", "had", F.explode("keys").alias("key")), "wide-prefixes")  # an id with several texts may repeat a key
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("had").alias("low"), F.max("had").alias("high"))
+    sizes = sizes.where("low < high").select("key", "size")  # keys of one group have nothing left to link
     whole, keyed = keyed, written(keyed.join(sizes, "key"), "wide-keys")
     drop(whole)
     cold = keyed.where(F.col("size") <= pairs_to).select("id", "m", "had", "key")
     pairs = cold.select("key", F.col("id").alias("a"), F.col("m").alias("x"), F.col("had").alias("u")).join(cold.select("key", F.col("id").alias("b"), F.col("m").alias("y"), F.col("had").alias("v")), "key")
     pairs = pairs.where("a < b AND u <> v").where(F.least("x", "y") >= similarity * F.greatest("x", "y") - 1e-9).select("a", "b")
     crowded = keyed.where(F.col("size") > pairs_to)
-    stars = crowded.where("had <> led").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    # one leader a key, from four orders of the ids, so that a key's rows do not all depend on one of them
+    leader = F.min(F.struct(F.xxhash64("id", F.pmod("key", F.lit(4))).alias("h"), "id", "had"))
+    leaders = written(crowded.groupBy("key").agg(leader.alias("s")).select("key", F.col("s.id").alias("leader"), F.col("s.had").alias("led")), "wide-leaders")
+    stars = crowded.join(leaders, "key").where("had <> led").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     links = checked(pairs.unionByName(stars))
+    drop(leaders)
     parts = written(connected_components(same.unionByName(links)), "wide-parts")
 
     # crowded keys whose rows are still in several components
